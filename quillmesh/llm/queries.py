@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from quillmesh.llm import mixing
+from quillmesh.llm.decontaminate import op10_decontaminate
+from quillmesh.llm.mixing import op7_mix_sources
 from quillmesh.llm.near_dedup import op8_near_dedup
+from quillmesh.llm.quality import op5_quality_rules
+from quillmesh.llm.sharding import op6_shard_bins
 
 QUERIES = {
+    "op5_quality_rules": op5_quality_rules,
+    "op6_shard_bins": op6_shard_bins,
+    "op7_mix_sources": op7_mix_sources,
     "op8_near_dedup": op8_near_dedup,
+    "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op7_mix_sources": mixing.ORACLE,
+}
