@@ -1,0 +1,107 @@
+from __future__ import annotations
+
+import itertools
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillmesh.llm import pii
+
+SF = "/root/testdata"
+
+
+def lines_of(spark, sf, n=400):
+    docs = spark.read.parquet(f"{SF}/{sf}/documents.parquet").orderBy(F.xxhash64("doc_id")).limit(n)
+    return [line for r in docs.collect() for line in r.text[:2000].split("\n")]
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return pii.train(*pii.labelled_windows(lines_of(spark, "sf0.001")))
+
+
+def test_gradients_match_differences():
+    m, rng = pii.Model.fresh(1, 3, 4, np.float64), np.random.default_rng(0)
+    ids, gold = rng.integers(0, pii.VOCABULARY, (7, 5)), rng.integers(0, 6, (7, 5))
+    _, grads = pii.loss_and_gradients(m, ids, gold)
+    for p, g in zip(m.parts(), grads):
+        for _ in range(12):
+            at = tuple(rng.integers(0, s) for s in p.shape)
+            old = p[at]
+            losses = []
+            for e in (1e-6, -1e-6):
+                p[at] = old + e
+                losses.append(pii.loss_and_gradients(m, ids, gold)[0])
+            p[at] = old
+            assert abs((losses[0] - losses[1]) / 2e-6 - g[at]) < 1e-6
+
+
+def test_viterbi_and_bound_equal_all_paths():
+    rng = np.random.default_rng(4)
+    clear = 0
+    for k in range(40):
+        scores, moves = rng.normal(0, 1, (4, 6, 8)), rng.normal(0, 0.7, (6, 6))
+        scores[:, 0] += k / 6
+        got = pii.viterbi(scores, moves)
+        sure = pii.surely_clear(scores, moves)
+        clear += sure.sum()
+        for b in range(8):
+            best = max(itertools.product(range(6), repeat=4), key=lambda p: sum(scores[t, p[t], b] for t in range(4)) + sum(moves[p[t], p[t + 1]] for t in range(3)))
+            assert tuple(got[:, b]) == best
+            assert not sure[b] or not any(best)
+    assert clear > 20
+
+
+def test_held_out_accuracy(spark, model):
+    """Exact spans; values that the window's edge cuts are left out, as in use the neighbouring window decides them."""
+    ids, gold = pii.labelled_windows(lines_of(spark, "sf0.01"), n=1500, seed=99)
+    labels = pii.decode(model, np.ascontiguousarray(ids.T)).T
+    runs = lambda y: {(a, b, y[a]) for a, b in zip(*(lambda e: (e[:-1], e[1:]))(np.nonzero(np.diff(np.r_[0, y, 0]))[0])) if y[a]}
+    ends = (ids != pii.PAD).sum(axis=1)
+    whole = lambda found, n: {r for r in found if 0 < r[0] and r[1] < n}
+    want, got = [whole(runs(y), n) for y, n in zip(gold, ends)], [whole(runs(y), n) for y, n in zip(labels.astype(np.int64), ends)]
+    both = sum(len(a & b) for a, b in zip(want, got))
+    assert both / sum(map(len, want)) > 0.95 and both / sum(map(len, got)) > 0.95
+
+
+def test_corpus_values_are_found_and_clean_text_left(spark, model):
+    rows = spark.read.parquet(f"{SF}/sf0.01/documents.parquet").select("text").collect()
+    import re
+
+    known = re.compile(r"\w+\.\d\d@mail\d\.example\.com|\+1 \(\d{3}\) 555-\d{4}|\b\d{1,3}(?:\.\d{1,3}){3}\b|\b\d{16}\b|(?<=token = \")[0-9a-f]{40}")
+    want = hit = false = total = 0
+    for r, found in zip(rows, pii.find(model, [r.text for r in rows])):
+        spots = [m.span() for m in known.finditer(r.text)]
+        want += len(spots)
+        hit += sum(any(a < e and b > s for a, b, _ in found) for s, e in spots)
+        false += sum(not any(a < e and b > s for s, e in spots) for a, b, _ in found)
+        total += 1
+    assert want > 30 and hit / want > 0.95 and false / total < 0.02
+
+
+def test_windows_are_reconciled_over_the_whole_text(model):
+    filler = "plain words of no interest to anyone "
+    for shift in range(0, 330, 11):
+        text = "x" * shift + " " + filler * 12 + "anna.12@mail3.example.com " + filler * 9 + "4929348385146306 " + filler * 20
+        found = pii.find(model, [text])[0]
+        assert [(text[a:b], k) for a, b, k in found] == [("anna.12@mail3.example.com", "EMAIL"), ("4929348385146306", "CARD")]
+        assert text.replace("anna.12@mail3.example.com", "[EMAIL]").replace("4929348385146306", "[CARD]") == pii.redact(text, found)
+
+
+def test_result_does_not_depend_on_the_batch(spark, model):
+    texts = [r.text for r in spark.read.parquet(f"{SF}/sf0.001/documents.parquet").limit(60).collect()]
+    together = pii.find(model, texts)
+    assert [pii.find(model, [t])[0] for t in texts] == together and any(together)
+
+
+def test_defined_cases(spark, model):
+    long = "calm words " * 20_000 + "bob.77@mail1.example.com" + " calm" * 1000
+    rows = [(1, None), (2, ""), (3, "mail bob.77@mail1.example.com now"), (3, "mail bob.77@mail1.example.com now"), (None, "x"), (4, long), (5, "\U0001f600 漢字 ퟿")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(1)).withColumn("kind", F.lit("x"))
+    got = sorted((r.doc_id, r.text, r.n_spans) for r in pii.mark(df, model).collect() if r.doc_id != 1)
+    assert [g[0] for g in got] == [2, 3, 3, 4, 5] and got[0][1:] == ("", 0) and got[1][1:] == ("mail [EMAIL] now", 1) == got[2][1:]
+    assert got[3][1] == long.replace("bob.77@mail1.example.com", "[EMAIL]") and got[4][1] == rows[-1][1]
+    null = pii.mark(df.where("doc_id = 1"), model).first()
+    assert null.text is None and null.n_spans == 0
+    assert pii.mark(df.limit(0), pii.fit(df.limit(0), steps=2)).collect() == []
