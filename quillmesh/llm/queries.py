@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import mixing
+from quillmesh.llm import line_dedup, mixing
 from quillmesh.llm.decontaminate import op10_decontaminate
 from quillmesh.llm.html_extract import op4_html_extract
+from quillmesh.llm.line_dedup import op3_line_dedup
 from quillmesh.llm.mixing import op7_mix_sources
 from quillmesh.llm.near_dedup import op8_near_dedup
 from quillmesh.llm.pii import op1_pii
 from quillmesh.llm.quality import op5_quality_rules
 from quillmesh.llm.sharding import op6_shard_bins
 from quillmesh.llm.toxicity import op9_toxicity
+from quillmesh.llm.url_filter import op2_url_filter
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_url_filter": op2_url_filter,
+    "op3_line_dedup": op3_line_dedup,
     "op4_html_extract": op4_html_extract,
     "op5_quality_rules": op5_quality_rules,
     "op6_shard_bins": op6_shard_bins,
@@ -24,5 +28,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_line_dedup": line_dedup.ORACLE,
     "op7_mix_sources": mixing.ORACLE,
 }
