@@ -60,7 +60,8 @@ def heading_title(body: Column) -> Column:
         bare = tx.strip(F.regexp_replace(line, "^#+", ""))
         return F.when(line.startswith("# "), tx.strip(F.substring(line, 3, 1 << 30))).when(line.startswith("#") & (bare != ""), bare)
 
-    return F.get(F.filter(F.transform(tx.lines(body), title), lambda x: x.isNotNull()), 0)
+    marked = F.filter(tx.lines(body), lambda line: line.startswith("#"))
+    return F.get(F.filter(F.transform(marked, title), lambda x: x.isNotNull()), 0)
 
 
 def notes_from_files(files: DataFrame) -> DataFrame:

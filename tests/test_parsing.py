@@ -123,3 +123,21 @@ def test_chunks_are_numbered_through_the_note(spark):
     got = chunking.chunk_notes(spark.createDataFrame(rows, "id string, title string, tags array<string>, links array<string>, content string")).collect()
     got = sorted((r.chunk_id, r.title, r.section, r.text, r.position, r.tags) for r in got)
     assert got == [("a/b.md#1", "b.md", "Introduction", "lead. in", 1, []), ("a/b.md#2", "b.md", "A", "one. two.", 2, []), ("a/b.md#3", "b.md", "B", "three.", 3, []), ("d.md#1", "T", "T", "z", 1, ["x"])]
+
+
+def test_sentences_equal_the_regular_expression():
+    rng = random.Random(4)
+    for _ in range(3000):
+        flat = " ".join("".join(rng.choice("ab.!") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(0, 8)))
+        found = [m.strip() for m in re.findall(r"(.+?[.!?…]+)(?:\s+|$)", flat)]
+        rest = re.sub(r".+?[.!?…]+(?:\s+|$)", "", flat).strip()
+        assert chunking.split_sentences(flat) == found + ([rest] if rest else []), flat
+
+
+def test_long_texts_take_linear_time(spark):
+    import time
+
+    began = time.time()
+    for t in ("word " * 200_000, "a." * 200_000, "! " * 100_000, "x" * 500_000):
+        assert len(value(spark, t, lambda c: chunking.pack(c))) >= 1
+    assert time.time() - began < 60
