@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import project, table
+from quillmesh.llm.common import bounded_sample, project, table
 
 KINDS = ("O", "EMAIL", "PHONE", "IP", "CARD", "SECRET")
 WINDOW, OVERLAP, ROUND = 320, 64, 64
@@ -390,7 +390,7 @@ def redact(text: str, found: list[tuple[int, int, str]]) -> str:
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, steps: int = STEPS) -> Model:
     """Train on lines of the train_docs documents with the least hash of their ids (their first 2000 characters)."""
     rows = project(docs, doc_id=("doc_id", "long"), text=("text", "string")).where("text is not null")
-    rows = rows.select("doc_id", F.substring("text", 1, 2000).alias("text")).orderBy(F.xxhash64("doc_id"), "text").limit(train_docs)
+    rows = bounded_sample(rows.select("doc_id", F.substring("text", 1, 2000).alias("text")), docs.count(), train_docs, "doc_id")
     lines = [line for r in rows.collect() for line in r["text"].split("\n")]
     return train(*labelled_windows(lines), steps=steps)
 
