@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import cut, project, table
+from quillmesh.llm.common import bounded_sample, cut, project, table
 
 RADIUS = 15
 BLOCKS = 8
@@ -201,7 +201,7 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_
         raise ValueError("radius must be from 0 to 127")
     n = prints.count()
     depth = max(0, math.ceil(math.log2(n / shard_rows))) if n else 0
-    rows = prints.orderBy(F.xxhash64("f0", "f1")).limit(sample if depth else 0).select("f0", "f1").collect()
+    rows = bounded_sample(prints.select("f0", "f1"), n, sample, "f0", "f1").collect() if depth else []
     s0, s1 = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
     trees = [grow(block_values(s0, s1, k), depth) for k in range(BLOCKS)]
     reach = radius // BLOCKS
