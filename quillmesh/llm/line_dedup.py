@@ -180,10 +180,11 @@ def versions(docs: DataFrame) -> DataFrame:
 
 def lines(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, ver, pos, shard, h0, h1) of every line; a blank line has no key."""
-    each = versions(docs).where("text is not null").dropDuplicates(["doc_id", "ver"]).select("doc_id", "ver", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    each = versions(docs).where("text is not null").select("doc_id", "ver", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     bare = F.btrim("line", F.lit(" \t\r"))
     h0 = F.when(bare != "", F.xxhash64(bare))
-    return each.select("doc_id", "ver", "pos", F.pmod(h0, F.lit(shards)).cast("int").alias("shard"), h0.alias("h0"), F.when(bare != "", F.xxhash64(F.lit(1), bare)).alias("h1"))
+    keyed = each.select("doc_id", "ver", "pos", F.pmod(h0, F.lit(shards)).cast("int").alias("shard"), h0.alias("h0"), F.when(bare != "", F.xxhash64(F.lit(1), bare)).alias("h1"))
+    return keyed.dropDuplicates(["doc_id", "ver", "pos"])  # of repeated rows; on keys, so no text is shuffled
 
 
 def _counted(occurrences: DataFrame) -> DataFrame:
