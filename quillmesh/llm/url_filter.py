@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import project, table
+from quillmesh.llm.common import bounded_sample, project, table
 
 SEEDS = ("spam", "pills", "casino", "viagra", "porn", "xxx", "betting", "payday", "warez", "phish")
 MAX_ROWS = 10_000
@@ -177,7 +177,8 @@ def fit(pages: DataFrame, max_rows: int = MAX_ROWS) -> Forest:
     urls = project(pages, url=("url", "string")).where(F.col("url").rlike(r"\S")).distinct()
     host = F.lower(F.regexp_extract("url", r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)", 1))
     marked = urls.select("url", host.rlike("|".join(SEEDS)).alias("bad"))
-    rows = [r for b in (True, False) for r in marked.where(F.col("bad") == b).orderBy(F.xxhash64("url"), "url").limit(max_rows).collect()]
+    sizes = {r["bad"]: r["count"] for r in marked.groupBy("bad").count().collect()}
+    rows = [r for b, n in sorted(sizes.items()) for r in bounded_sample(marked.where(F.col("bad") == b), n, max_rows, "url").collect()]
     rows.sort(key=lambda r: (xxhash.xxh3_64_intdigest(r["url"]), r["url"]))
     return train([r["url"] for r in rows], np.array([r["bad"] for r in rows], np.float64))
 
