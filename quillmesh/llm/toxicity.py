@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import project, table
+from quillmesh.llm.common import bounded_sample, project, table
 
 BUCKETS = 1 << 20
 MAX_ROWS = 6_000
@@ -186,7 +186,7 @@ def severe_of(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[Link]:
     marks = project(labels, doc_id=("doc_id", "long"), toxic=("toxic", "int")).where("doc_id is not null and toxic is not null")
     marks = marks.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
-    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    chosen = bounded_sample(marks, labels.count(), max_rows, "doc_id")
     texts = project(docs, doc_id=("doc_id", "long"), text=("text", "string")).where("text is not null")
     sample = {r["doc_id"]: (r["text"], r["toxic"]) for r in texts.join(F.broadcast(chosen), "doc_id").toLocalIterator()}
     order = sorted(sample, key=lambda i: (xxhash.xxh3_64_intdigest(str(i)), i))
