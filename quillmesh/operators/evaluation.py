@@ -79,7 +79,7 @@ def _shares(said: pd.Series, known: pd.Series) -> pd.Series:
     out = []
     for tokens, context in zip(said, known):
         there = set(context)
-        out.append(round(sum(t in there for t in tokens) / len(tokens), 6) if len(tokens) else 0.0)
+        out.append(sum(t in there for t in tokens) / len(tokens) if len(tokens) else 0.0)
     return pd.Series(out, dtype=float)
 
 
@@ -89,7 +89,7 @@ def coverage(answer: Column, context: Column) -> Column:
     Tokens are made by built-ins; counting them needs a set for each row, which a lambda over
     arrays would build again for every token, so that is an Arrow UDF.
     """
-    return F.pandas_udf(_shares, "double", F.PandasUDFType.SCALAR)(tx.lex_tokens(answer), tx.lex_tokens(context))
+    return F.round(F.pandas_udf(_shares, "double", F.PandasUDFType.SCALAR)(tx.lex_tokens(answer), tx.lex_tokens(context)), 6)
 
 
 def citations(answer: Column) -> Column:

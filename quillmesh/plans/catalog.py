@@ -430,10 +430,12 @@ def _wordcount(s: str) -> str:
     return f"len(string_split({s}, ' '))"
 
 
-_PACKED = f"""
-flat AS (SELECT doc_id, {_clean('text')} AS flat FROM documents),
-sent AS (SELECT doc_id, {_SENTENCES} AS ss FROM flat),
-state AS (SELECT doc_id, list_reduce(list_prepend({{'out': []::VARCHAR[], 'cur': NULL::VARCHAR, 'n': 0::BIGINT, 's': NULL::VARCHAR}},
+def _packed(source: str, key: str, text: str) -> str:
+    """CTE ``packed`` (key columns, cs): the chunks of each text, by a fold over its sentences."""
+    return f"""
+flat AS (SELECT {key}, {_clean(text)} AS flat FROM {source}),
+sent AS (SELECT {key}, {_SENTENCES} AS ss FROM flat),
+state AS (SELECT {key}, list_reduce(list_prepend({{'out': []::VARCHAR[], 'cur': NULL::VARCHAR, 'n': 0::BIGINT, 's': NULL::VARCHAR}},
     list_transform(ss, lambda x: {{'out': []::VARCHAR[], 'cur': NULL::VARCHAR, 'n': 0::BIGINT, 's': x}})),
     lambda a, e: CASE
       WHEN {_wordcount('e.s')} >= 300 THEN {{'out': CASE WHEN a.cur IS NULL THEN a.out ELSE a.out || [a.cur] END || [e.s], 'cur': NULL::VARCHAR, 'n': 0::BIGINT, 's': NULL::VARCHAR}}
@@ -441,7 +443,19 @@ state AS (SELECT doc_id, list_reduce(list_prepend({{'out': []::VARCHAR[], 'cur':
       WHEN a.cur IS NULL THEN {{'out': a.out, 'cur': e.s, 'n': {_wordcount('e.s')}::BIGINT, 's': NULL::VARCHAR}}
       ELSE {{'out': a.out || [a.cur], 'cur': array_to_string(string_split(a.cur, ' ')[-60:], ' ') || ' ' || e.s, 'n': (least(60, {_wordcount('a.cur')}) + {_wordcount('e.s')})::BIGINT, 's': NULL::VARCHAR}}
     END) AS st FROM sent),
-packed AS (SELECT doc_id, CASE WHEN st.cur IS NULL THEN st.out ELSE st.out || [st.cur] END AS cs FROM state)"""
+packed AS (SELECT {key}, CASE WHEN st.cur IS NULL THEN st.out ELSE st.out || [st.cur] END AS cs FROM state)"""
+
+
+_TITLE = "CASE doc_id % 3 WHEN 0 THEN 'Head ' || doc_id WHEN 1 THEN 'Deep head' ELSE lang || ' and #' || source || '/part-a' END"
+_SECTIONS = rf"""{_WITH_MD}, l AS (SELECT path, {_TITLE} AS title, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM md),
+m AS (SELECT *, regexp_matches(line, '^#{{1,6}}\s') AS head, sum(regexp_matches(line, '^#{{1,6}}\s')::INTEGER) OVER (PARTITION BY path ORDER BY pos) AS sec FROM l),
+g AS (SELECT path, title, sec, max(line) FILTER (WHERE head) AS head, trim(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT head), ''), ' ' || chr(10)) AS text, max(sec) OVER (PARTITION BY path) AS last FROM m GROUP BY path, title, sec),
+secs AS (SELECT path, title, sec, text, CASE WHEN head IS NOT NULL THEN coalesce(nullif(trim(regexp_replace(head, '^#+', '')), ''), 'Section') WHEN last > 0 THEN 'Introduction' END AS section FROM g WHERE text <> '')"""
+_SPLIT = """
+s AS (SELECT doc_id, text, list_reduce(list_prepend({'out': []::VARCHAR[], 'cur': ''::VARCHAR}, list_transform(string_split(text, chr(10)), lambda x: {'out': []::VARCHAR[], 'cur': x})),
+    lambda a, e: CASE WHEN length(a.cur) + length(e.cur) + 1 > 1000 THEN {'out': CASE WHEN a.cur = '' THEN a.out ELSE a.out || [trim(a.cur, ' ' || chr(10))] END, 'cur': e.cur}
+    ELSE {'out': a.out, 'cur': CASE WHEN a.cur = '' THEN e.cur ELSE a.cur || chr(10) || e.cur END} END) AS st FROM documents),
+w AS (SELECT doc_id, CASE WHEN length(text) <= 1000 THEN [text] WHEN st.cur = '' THEN st.out ELSE st.out || [trim(st.cur, ' ' || chr(10))] END AS ps FROM s)"""
 
 ORACLES = {
     "tokens_lex": f"SELECT token, count(*) AS n FROM (SELECT unnest({_lex('text')}) AS token FROM documents) GROUP BY token",
@@ -469,19 +483,19 @@ ORACLES = {
               FROM fused f LEFT JOIN tg USING (qid, note_id) LEFT JOIN related r ON r.qid = f.qid AND r.note_id = f.note_id LEFT JOIN nk ON nk.qid = f.qid LEFT JOIN ov ON ov.qid = f.qid AND ov.note_id = f.note_id),
         t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rrf DESC, seen)::INTEGER AS rank FROM s)
         SELECT qid, rank, score, chunk_id, note_id, title, title AS section, text FROM t JOIN c USING (note_id) WHERE rank <= 5""",
-    "note_title": f"""WITH {_WITH_MD} SELECT path AS id, CASE doc_id % 3 WHEN 0 THEN 'Head ' || doc_id WHEN 1 THEN 'Deep head' ELSE lang || ' and #' || source || '/part-a' END AS title FROM md""",
+    "note_title": f"WITH {_WITH_MD} SELECT path AS id, {_TITLE} AS title FROM md",
     "note_tags": rf"""WITH {_WITH_MD}, t AS (SELECT path, unnest(regexp_extract_all(text, '(?:^|[^\p{{L}}\p{{N}}_])#([\p{{L}}\p{{N}}_/-]+)', 1)) AS t FROM md)
         SELECT path AS id, string_agg(DISTINCT t, '|' ORDER BY t) AS tags FROM t GROUP BY path""",
     "note_links": f"WITH {_WITH_MD} SELECT path AS id, 'src/' || (doc_id + 1) || '|Top#Head' AS links FROM md",
     "tag_exclude": "SELECT 'src/' || doc_id || '.md' AS id FROM documents WHERE lang <> 'en' AND source <> 'src3'",
-    "sections": rf"""WITH {_WITH_MD}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM md),
-        m AS (SELECT *, regexp_matches(line, '^#{{1,6}}\s') AS head, sum(regexp_matches(line, '^#{{1,6}}\s')::INTEGER) OVER (PARTITION BY path ORDER BY pos) AS sec FROM l),
-        g AS (SELECT path, sec, max(line) FILTER (WHERE head) AS head, trim(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT head), ''), ' ' || chr(10)) AS text, max(sec) OVER (PARTITION BY path) AS last FROM m GROUP BY path, sec)
-        SELECT path, (row_number() OVER (PARTITION BY path ORDER BY sec) - 1)::INTEGER AS nth,
-               CASE WHEN head IS NOT NULL THEN coalesce(nullif(trim(regexp_replace(head, '^#+', '')), ''), 'Section') WHEN last > 0 THEN 'Introduction' ELSE path END AS section, text FROM g WHERE text <> ''""",
+    "sections": f"WITH {_SECTIONS} SELECT path, (row_number() OVER (PARTITION BY path ORDER BY sec) - 1)::INTEGER AS nth, coalesce(section, path) AS section, text FROM secs",
+    "chunk_notes": f"""WITH {_SECTIONS}, {_packed('secs', 'path, title, sec, section', 'text')}, each AS (SELECT path, title, sec, section, unnest(cs) AS text, generate_subscripts(cs, 1) AS i FROM packed),
+        n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY sec, i)::INTEGER AS position FROM each)
+        SELECT path || '#' || position AS chunk_id, path AS note_id, title, coalesce(section, title) AS section, text, position FROM n""",
+    "message_split": f"WITH {_SPLIT} SELECT doc_id, (generate_subscripts(ps, 1) - 1)::INTEGER AS part, unnest(ps) AS piece FROM w",
     "clean_text": f"WITH {_WITH_MD} SELECT path, {_clean('text')} AS text FROM md",
     "sentences": rf"WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM documents), s AS (SELECT doc_id, {_SENTENCES} AS ss FROM f) SELECT doc_id, (generate_subscripts(ss, 1) - 1)::INTEGER AS nth, unnest(ss) AS sentence FROM s",
-    "chunks": f"WITH {_PACKED} SELECT doc_id, (generate_subscripts(cs, 1) - 1)::INTEGER AS nth, unnest(cs) AS chunk FROM packed",
+    "chunks": f"WITH {_packed('documents', 'doc_id', 'text')} SELECT doc_id, (generate_subscripts(cs, 1) - 1)::INTEGER AS nth, unnest(cs) AS chunk FROM packed",
     "passages": f"WITH {_WITH_NOTES} SELECT chunk_id, passage FROM p",
     "context_budget": f"""WITH {_HITS3}, b AS (SELECT qid, rank::INTEGER AS rank, length('[Source ' || rank || ']' || 'note_id: ' || note_id || 'chunk_id: ' || chunk_id || 'title: ' || title || 'section: ' || section || 'text: ' || text) + 6 AS chars FROM h),
         u AS (SELECT *, sum(chars) OVER (PARTITION BY qid ORDER BY rank) AS upto FROM b) SELECT qid, rank, chars::INTEGER AS chars, upto::BIGINT AS upto FROM u WHERE upto <= 12000""",
