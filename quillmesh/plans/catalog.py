@@ -275,6 +275,43 @@ def index_append(spark, sf):
     return hybrid.retrieve(index.persist(), questions(spark, sf), CFG)
 
 
+def index_saved(spark, sf):
+    from quillmesh.sources.store import load_index, save_index, scratch
+
+    path = scratch(spark, "index")
+    save_index(hybrid.build_index(one_chunk_notes(spark, sf), CFG), path)
+    return hybrid.retrieve(load_index(spark, path), questions(spark, sf), CFG)
+
+
+def jsonl_roundtrip(spark, sf):
+    from quillmesh.sources.jsonl import read_chunks, require_rows, write_jsonl
+    from quillmesh.sources.store import scratch
+
+    path = scratch(spark, "chunks")
+    write_jsonl(one_chunk_notes(spark, sf), path)
+    back = require_rows(read_chunks(spark, path), path)
+    return back.select("chunk_id", "note_id", "title", "text", F.array_join("tags", "|").alias("tags"), F.array_join("links", "|").alias("links"), "position")
+
+
+def max_chunks(spark, sf):
+    return hybrid.build_index(one_chunk_notes(spark, sf), CFG, max_chunks=50).passages.select("chunk_id", F.size("buckets").alias("tokens"), F.size("terms").alias("terms"))
+
+
+def get_note(spark, sf):
+    made = notes.notes_from_files(markdown(spark, sf))
+    return notes.get_note(made, "src/7.md").select("id", "title")
+
+
+def relevant_ids(spark, sf):
+    rows = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("qid"), F.col("text").alias("query"),
+        F.when(F.col("item_id") % 2 == 0, F.array(F.concat(F.lit("n"), F.col("item_id").cast("string"), F.lit(".md#2")), F.lit(""), F.lit("plain"))).alias("relevant_chunk_ids"),
+        F.when(F.col("item_id") % 3 == 0, F.lit("old.md#1")).alias("expected_chunk_id"), F.when(F.col("item_id") % 5 == 0, F.lit("note.md")).alias("expected_note_id"),
+    )
+    found = evaluation.relevants(rows)
+    return found.select("qid", F.array_join("chunk_ids", "|").alias("chunk_ids"), F.array_join("note_ids", "|").alias("note_ids"))
+
+
 def lsh_topk(spark, sf):
     e = table(spark, sf, "embeddings")
     return vectors.lsh_topk(e.where("vec_id < 20").select(F.col("vec_id").alias("qid"), "embedding"), e, 10)
@@ -321,7 +358,7 @@ QUERIES = {
         hybrid_topk, tokens_lex, tokens_embed, hash_buckets, tf_vectors, dense_topk, sparse_topk, bm25_stats, bm25_topk, rrf_fusion, tag_boost, link_boost, note_aliases,
         keyword_guard, note_cap_topk, note_title, note_tags, note_links, tag_exclude, sections, clean_text, sentences, chunks, chunk_notes, passages, context_budget,
         sources_text, compact_sources, extractive_answer, plan_route, expand_query, message_split, corpus_counts, recall_mrr, misses, coverage, citations, judge_parse,
-        rag_summary, rag_report, index_append, lsh_topk, yaml_frontmatter, html_format, mojibake_fix, agent_answers, event_windows,
+        rag_summary, rag_report, relevant_ids, get_note, max_chunks, jsonl_roundtrip, index_saved, index_append, lsh_topk, yaml_frontmatter, html_format, mojibake_fix, agent_answers, event_windows,
     )
 }
 
@@ -522,4 +559,11 @@ ORACLES = {
         round(avg(CASE WHEN len(said) = 0 THEN 0.0::DOUBLE ELSE round(len(list_filter(said, lambda t: list_contains(known, t)))::DOUBLE / len(said), 6) END), 6) AS coverage, 0::BIGINT AS judged FROM s""",
     "event_windows": "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
 }
-ORACLES["index_append"] = ORACLES["hybrid_topk"]
+ORACLES["index_append"] = ORACLES["index_saved"] = ORACLES["hybrid_topk"]
+ORACLES |= {
+    "jsonl_roundtrip": f"WITH {_WITH_NOTES} SELECT chunk_id, note_id, title, text, tags[1] || '|' || tags[2] AS tags, link AS links, 1::INTEGER AS position FROM c",
+    "max_chunks": f"WITH {_WITH_NOTES} SELECT chunk_id, len({_emb('passage')})::INTEGER AS tokens, len({_lex('passage')})::INTEGER AS terms FROM p ORDER BY note_id LIMIT 50",
+    "get_note": f"WITH {_WITH_MD} SELECT path AS id, {_TITLE} AS title FROM md WHERE path = 'src/7.md'",
+    "relevant_ids": """SELECT item_id AS qid, CASE WHEN item_id % 2 = 0 THEN 'n' || item_id || '.md#2|plain' WHEN item_id % 3 = 0 THEN 'old.md#1' ELSE '' END AS chunk_ids,
+        CASE WHEN item_id % 5 = 0 THEN 'note.md' WHEN item_id % 2 = 0 THEN 'n' || item_id || '.md' WHEN item_id % 3 = 0 THEN 'old.md' ELSE '' END AS note_ids FROM benchmark""",
+}

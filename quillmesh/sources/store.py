@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,12 @@ PARTS = ("chunks", "passages", "term_stats", "corpus", "meta")
 _CURRENT = "version string, saved_at long"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name in the cluster's shared folder, or in a temporary one where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{base or tempfile.mkdtemp(prefix='quillmesh-')}/{name}-{uuid.uuid4().hex}"
+
+
 def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
