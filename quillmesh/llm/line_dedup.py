@@ -37,6 +37,7 @@ _KEY = ["shard", "h0", "h1"]
 _OWNER = "struct<doc_id: bigint, pos: int, ver: bigint>"
 _FILTER = "shard int, cells binary, stash binary, n long"
 _REFS = f"shard int, h0 long, h1 long, refs long, owner {_OWNER}"
+_ASKED = "shard int, h0 long, h1 long, refs long, doc_id long, pos int, ver long, maybe boolean"
 _OCCURRENCES = "doc_id long, ver long, pos int, shard int, h0 long, h1 long"
 
 
@@ -58,7 +59,7 @@ class CuckooFilter:
         u = keys.view(np.uint64)
         mark = (u[:, 1] & np.uint64(0xFFFF)).astype(np.uint16)
         mark[mark == 0] = 1
-        first = u[:, 0] & self.mask
+        first = u[:, 0] >> np.uint64(24) & self.mask  # not the lowest bits, which a shard's keys share
         return mark, first, first ^ self._jump(mark)
 
     def _jump(self, mark: np.ndarray) -> np.ndarray:
@@ -144,7 +145,7 @@ def _pairs(pdf: pd.DataFrame) -> np.ndarray:
 def _probe(key: tuple, new: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
     known = CuckooFilter.of(filters)
     new["maybe"] = known.has(_pairs(new)) if known and len(new) else np.zeros(len(new), bool)
-    return new[["shard", "h0", "h1", "maybe"]]
+    return new
 
 
 def _extend(key: tuple, new: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
@@ -216,11 +217,11 @@ class LineIndex:
     def insert(self, docs: DataFrame) -> LineIndex:
         here = self.occurrences.select("doc_id", "ver").distinct()
         new = cut(lines(docs, self.shards).join(here, ["doc_id", "ver"], "left_anti"))
-        counted = cut(_counted(new))
-        asked = counted.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_probe, "shard int, h0 long, h1 long, maybe boolean")
-        asked = cut(asked)
-        fresh = counted.join(asked.where("not maybe"), _KEY, "left_semi")
-        check = counted.join(asked.where("maybe"), _KEY, "left_semi").select(*_KEY, F.col("refs").alias("more"), F.col("owner").alias("claim"))
+        flat = _counted(new).select(*_KEY, "refs", "owner.doc_id", "owner.pos", "owner.ver")
+        asked = cut(flat.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_probe, _ASKED))
+        asked = asked.select(*_KEY, "refs", F.struct("doc_id", "pos", "ver").alias("owner"), "maybe")
+        fresh = asked.where("not maybe").drop("maybe")
+        check = asked.where("maybe").select(*_KEY, F.col("refs").alias("more"), F.col("owner").alias("claim"))
         merged = self.refs.join(check, _KEY, "full_outer").select(
             *_KEY,
             (F.coalesce("refs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("refs"),
@@ -233,7 +234,7 @@ class LineIndex:
         filters = cut(added.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_extend, _FILTER))
         small = filters.where("cells is null").select("shard")
         rebuilt = refs.select(*_KEY).join(F.broadcast(small), "shard", "left_semi").groupBy("shard").applyInPandas(_build, _FILTER)
-        return LineIndex(cut(self.occurrences.unionByName(new)), refs, cut(filters.where("cells is not null").unionByName(rebuilt)), self.shards)
+        return LineIndex(self.occurrences.unionByName(new), refs, cut(filters.where("cells is not null").unionByName(rebuilt)), self.shards)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """doc_ids: a column doc_id."""
