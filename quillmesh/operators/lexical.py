@@ -6,14 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as tx
+from quillmesh.functions.layout import checked_broadcast
 
 K1, B = 1.2, 0.75
-#: A side with at most so many rows (counted, not guessed) is broadcast; beyond that the planner decides.
-SMALL_ROWS = 200_000
-
-
-def checked_broadcast(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -22,11 +17,12 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def postings(items: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(term, item, tf); only: a table of terms, joined before anything is shuffled."""
-    each = items.select("item", F.explode(tx.lex_tokens(F.col("text"))).alias("term"))
+    """(term, item, tf, dl); only: a table of terms, joined before anything is shuffled.  dl is the item's length in tokens."""
+    tokens = items.select("item", tx.lex_tokens(F.col("text")).alias("tokens"))
+    each = tokens.select("item", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     if only is not None:
         each = each.join(checked_broadcast(only), "term", "left_semi")
-    return each.groupBy("term", "item").agg(F.count("*").alias("tf"))
+    return each.groupBy("term", "item", "dl").agg(F.count("*").alias("tf"))
 
 
 def doc_stats(items: DataFrame) -> DataFrame:
@@ -51,15 +47,13 @@ def term_stats(posted: DataFrame, corpus: DataFrame) -> DataFrame:
 def bm25_topk(queries: DataFrame, items: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
     """(qid, item, score, rank) of matching items; ties by the first matching query term, then item."""
     asked = query_terms(queries)
-    posted = postings(items, asked.select("term").distinct())
+    posted = postings(items, asked.select("term").distinct()).persist()
     corpus = corpus_stats(items)
     stats = checked_broadcast(term_stats(posted, corpus))
-    lengths = doc_stats(items)
     length = F.greatest(F.col("dl"), F.lit(1)) / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
     gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length))
     scored = (
-        posted.join(lengths, "item")
-        .join(stats, "term")
+        posted.join(stats, "term")
         .crossJoin(F.broadcast(corpus))
         .select("term", "item", gain.alias("gain"))
         .join(checked_broadcast(asked), "term")

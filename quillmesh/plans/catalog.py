@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.config import RetrievalConfig
 from quillmesh.functions import text as tx
+from quillmesh.functions.layout import checked_broadcast, spread
 from quillmesh.operators import answers as an
 from quillmesh.operators import chunking, evaluation, lexical, notes, ranking, vectors
 from quillmesh.plans import hybrid
@@ -41,7 +42,7 @@ def markdown(spark: SparkSession, sf: str) -> DataFrame:
     head = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("# Head "), key, F.lit("\n"))).when(F.col("doc_id") % 3 == 1, F.lit("lead in\n###  Deep head \n")).otherwise(F.lit(""))
     tail = F.when(F.col("doc_id") % 2 == 0, F.lit("\n## Tail\n- one **two** three\n2. four\n#not a head\n## \nlast. Words!")).otherwise(F.lit(""))
     text = F.concat(head, tag, F.lit("\n"), link, F.lit("\n"), F.col("text"), tail)
-    return table(spark, sf, "documents").select(F.concat(F.lit("src/"), key, F.lit(".md")).alias("path"), "lang", text.alias("text"))
+    return spread(table(spark, sf, "documents")).select(F.concat(F.lit("src/"), key, F.lit(".md")).alias("path"), "lang", text.alias("text"))
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,7 +51,7 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("item"), "text")
+    return spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("item"), "text")
 
 
 def asked(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,19 +78,19 @@ def _relevant(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tokens_lex(spark, sf):
-    return table(spark, sf, "documents").select(F.explode(tx.lex_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return spread(table(spark, sf, "documents")).select(F.explode(tx.lex_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
 def tokens_embed(spark, sf):
-    return table(spark, sf, "documents").select(F.explode(tx.embed_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return spread(table(spark, sf, "documents")).select(F.explode(tx.embed_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
 def hash_buckets(spark, sf):
-    return vectors.buckets(table(spark, sf, "documents"), "doc_id", "text")
+    return vectors.buckets(spread(table(spark, sf, "documents")), "doc_id", "text")
 
 
 def tf_vectors(spark, sf):
-    return vectors.tf_vectors(table(spark, sf, "documents"), "doc_id", "text").withColumn("w", F.round("w", 6))
+    return vectors.tf_vectors(spread(table(spark, sf, "documents")), "doc_id", "text").withColumn("w", F.round("w", 6))
 
 
 def dense_topk(spark, sf):
@@ -117,7 +118,7 @@ def rrf_fusion(spark, sf):
 
 def tag_boost(spark, sf):
     q = questions(spark, sf).select("qid", tx.query_tags(F.col("text")).alias("qtags")).where(F.size("qtags") > 0)
-    pairs = one_chunk_notes(spark, sf).crossJoin(lexical.checked_broadcast(q))
+    pairs = one_chunk_notes(spark, sf).crossJoin(checked_broadcast(q))
     boost = CFG.tag_boost * ranking.tag_overlap(F.col("qtags"), F.col("tags"))
     return pairs.select("qid", "chunk_id", F.round(boost, 6).alias("boost")).where("boost > 0")
 
@@ -174,11 +175,11 @@ def clean_text(spark, sf):
 
 
 def sentences(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(chunking.sentences(F.col("text"))).alias("nth", "sentence"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.posexplode(chunking.sentences(F.col("text"))).alias("nth", "sentence"))
 
 
 def chunks(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(chunking.pack(F.col("text"))).alias("nth", "chunk"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.posexplode(chunking.pack(F.col("text"))).alias("nth", "chunk"))
 
 
 def chunk_notes(spark, sf):

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.config import HIT, RetrievalConfig
 from quillmesh.functions import text as tx
+from quillmesh.functions.layout import checked_broadcast, spread
 from quillmesh.operators import lexical, ranking
 from quillmesh.operators.vectors import with_passage
 
@@ -48,7 +49,7 @@ def build_index(chunks: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), max
     if max_chunks is not None:
         chunks = chunks.orderBy("note_id", "position").limit(max_chunks)
     passage = F.col("passage")
-    passages = with_passage(chunks).select(
+    passages = with_passage(spread(chunks)).select(
         "chunk_id",
         "note_id",
         "position",
@@ -194,7 +195,7 @@ def retrieve(index: IndexTables, queries: DataFrame, cfg: RetrievalConfig = Retr
     counted = ranking.keywords(terms, cfg).select("qid", F.size("keywords").alias("n_keywords"))
     asked = queries.select("qid", tx.query_tags(F.col("text")).alias("qtags")).join(counted, "qid", "left")
     hits = ranking.top_hits(ranking.rescore(ranking.fuse(ranked, cfg.rrf_k), asked, related, cfg), cfg)
-    hits = lexical.checked_broadcast(hits.select("qid", "rank", "score", "chunk_id", "note_id", "position").cache())
+    hits = checked_broadcast(hits.select("qid", "rank", "score", "chunk_id", "note_id", "position").cache())
     text = index.chunks.select("chunk_id", "note_id", "position", *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "section", "text")])
     out = text.join(hits, ["chunk_id", "note_id", "position"]).select(*[p.split()[0] for p in HIT.split(", ")])
     return out.dropDuplicates(["qid", "rank"])
