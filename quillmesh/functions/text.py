@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WS_CHARS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 INLINE_WS = r"[ \t\x1f\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]"
 LINE_END = r"\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 WORD = r"[\p{L}\p{N}_-]+"
@@ -25,12 +26,13 @@ STOPWORDS = frozenset(
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
+    """Looks at the ends only, unlike a regular expression."""
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def squeeze(c: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return strip(F.regexp_replace(c, rf"{WS}+", " "))
+    return F.trim(F.regexp_replace(c, rf"{WS}+", " "))
 
 
 def unified(c: Column) -> Column:
