@@ -15,7 +15,7 @@ INLINE_WS = r"[ \t\x1f\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]"
 LINE_END = r"\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 WORD = r"[\p{L}\p{N}_-]+"
 TAG = r"(?<![\p{L}\p{N}_])#([\p{L}\p{N}_/-]+)"
-LINK = r"\[\[([^\]]+)\]\]"
+LINK = r"\[\[([^\]]++)\]\]"
 
 #: Alphabetical; English, then Russian.
 STOPWORDS = frozenset(

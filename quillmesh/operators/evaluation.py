@@ -93,7 +93,7 @@ def coverage(answer: Column, context: Column) -> Column:
 
 
 def citations(answer: Column) -> Column:
-    found = F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(r"\[([^\]]+)\]"), F.lit(1))
+    found = F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(r"\[([^\]]++)\]"), F.lit(1))
     return F.filter(F.transform(found, tx.strip), lambda c: c != "")
 
 
@@ -114,10 +114,10 @@ def parse_judgement(text: Column) -> Column:
     return F.when(some.isNotNull(), parsed)
 
 
-def judge_prompt(question: str, context: str, answer: str) -> tuple[str, str]:
+def judge_request(asked: str, context: str, said: str) -> tuple[str, str]:
     wanted = {"correctness": "1-5", "groundedness": "1-5", "uses_context": "true/false", "hallucination": "true/false", "short_reason": "at most 20 words"}
     system = "You grade answers of a retrieval system strictly, by the context given and nothing else; an answer that the context lacks costs both grades."
-    return system, f"Question:\n{question}\n\nContext:\n{context}\n\nAnswer:\n{answer}\n\nReturn one JSON object and nothing else: {json.dumps(wanted)}"
+    return system, f"Question:\n{asked}\n\nContext:\n{context}\n\nAnswer:\n{said}\n\nReturn one JSON object and nothing else: {json.dumps(wanted)}"
 
 
 def judge(rows: DataFrame, chat: Callable[[str, str], str]) -> DataFrame:
@@ -126,7 +126,7 @@ def judge(rows: DataFrame, chat: Callable[[str, str], str]) -> DataFrame:
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(raw=[chat(*judge_prompt(q or "", c or "", a or "")) for q, c, a in zip(pdf["text"], pdf["context"], pdf["answer_body"])])
+            yield pdf.assign(raw=[chat(*judge_request(q or "", c or "", a or "")) for q, c, a in zip(pdf["text"], pdf["context"], pdf["answer_body"])])
 
     return rows.mapInPandas(ask, f"{types}, raw string").withColumn("judge", parse_judgement(F.col("raw"))).drop("raw")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as tx
@@ -34,8 +34,8 @@ def corpus_stats(items: DataFrame) -> DataFrame:
     return doc_stats(items).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def idf(n: F.Column, df: F.Column) -> F.Column:
-    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+def idf(items: Column, having: Column) -> Column:
+    return F.log(1 + (items - having + 0.5) / (0.5 + having))
 
 
 def term_stats(posted: DataFrame, corpus: DataFrame) -> DataFrame:

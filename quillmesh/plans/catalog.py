@@ -363,7 +363,7 @@ QUERIES = {
     )
 }
 
-# --- SQL ---------------------------------------------------------------------
+# SQL, by query
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(tx.STOPWORDS))
 
@@ -455,7 +455,7 @@ ans AS (SELECT q.qid, CASE WHEN body IS NULL THEN '{an.NO_HITS}' ELSE
         trim('Question: ' || q.text || chr(10) || chr(10) || 'Answer (baseline, retrieval-only):' || chr(10) || chr(10) || body, ' ' || chr(10)) || sources END AS answer
         FROM q LEFT JOIN body USING (qid) LEFT JOIN src USING (qid))"""
 
-_SENTENCES = r"list_filter(regexp_extract_all(flat, '(.+?[.!?…]+)(\s+|$)', 1) || [trim(regexp_replace(flat, '(.+?[.!?…]+)(\s+|$)', '', 'g'))], lambda x: x <> '')"
+_SENTENCES = r"list_filter(regexp_extract_all(flat, '(.+?[…?!.]+)(?:\s+|$)', 1) || [trim(regexp_replace(flat, '(.+?[…?!.]+)(?:\s+|$)', '', 'g'))], lambda x: x <> '')"
 
 
 def _clean(c: str) -> str:

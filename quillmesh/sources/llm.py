@@ -26,10 +26,12 @@ class ChatClient:
         return f"{base}/chat/completions" if base.endswith("/v1") else f"{base}/v1/chat/completions"
 
     def request(self, system: str, user: str) -> urllib.request.Request:
-        said = [{"role": "system", "content": system}, {"role": "user", "content": user}]
+        said = [dict(role=r, content=c) for r, c in (("system", system), ("user", user))]
         body = {"model": self.model, "messages": said, "temperature": self.temperature, "max_tokens": self.max_tokens}
-        head = {"Content-Type": "application/json", "Authorization": f"Bearer {self.api_key}"}
-        return urllib.request.Request(self.url, json.dumps(body).encode(), head)
+        request = urllib.request.Request(self.url, json.dumps(body).encode())
+        request.add_header("Authorization", f"Bearer {self.api_key}")
+        request.add_header("Content-Type", "application/json")
+        return request
 
     def __call__(self, system: str, user: str) -> str:
         with urllib.request.urlopen(self.request(system, user), timeout=self.timeout) as reply:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from datetime import datetime
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -51,8 +52,7 @@ class VaultReader(DataSourceReader):
     def read(self, partition: Files) -> Iterator[tuple]:
         for path in partition.paths:
             full = os.path.join(self.root, path)
-            with open(full, encoding="utf-8") as f:
-                text = f.read()
+            text = Path(full).read_text(encoding="utf-8")
             yield path.replace(os.sep, "/"), text, stamp(full, "st_ctime"), stamp(full, "st_mtime")
 
 

@@ -97,8 +97,7 @@ def plain_pack(text, size, overlap):
     for s in found + ([rest] if rest else []):
         words = s.split()
         if len(words) >= size:
-            if cur:
-                out.append(" ".join(cur))
+            out += [" ".join(cur)] if cur else []
             out.append(s)
             cur = []
         elif len(cur) + len(words) <= size:

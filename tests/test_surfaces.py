@@ -71,12 +71,14 @@ def plain_split(text, most):
     if len(text) <= most:
         return [text]
     out, cur = [], ""
-    for line in text.split("\n"):
-        if len(cur) + len(line) + 1 > most:
+    rest = text.split("\n")
+    while rest:
+        one = rest.pop(0)
+        if len(cur) + len(one) >= most:
             out += [cur.strip()] if cur else []
-            cur = line
+            cur = one
         else:
-            cur = cur + "\n" + line if cur else line
+            cur = cur + "\n" + one if cur else one
     return out + ([cur.strip()] if cur else [])
 
 
