@@ -71,7 +71,7 @@ def _hits(spark: SparkSession, sf: str, k: int = 3) -> DataFrame:
 
 def _relevant(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark items with the documents that contain them; an item without one keeps an id that nothing matches."""
-    b, d = table(spark, sf, "benchmark"), table(spark, sf, "documents")
+    b, d = table(spark, sf, "benchmark"), spread(table(spark, sf, "documents"))
     found = b.join(d.select("doc_id", F.col("text").alias("doc")), F.col("doc").contains(F.col("text"))).groupBy("item_id").agg(F.array_sort(F.collect_list(F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit(".md#1")))).alias("ids"))
     rows = b.join(found, "item_id", "left").select(F.col("item_id").alias("qid"), F.col("text").alias("query"), F.coalesce("ids", F.array(F.lit("none.md#1"))).alias("relevant_chunk_ids"))
     return evaluation.relevants(rows)
