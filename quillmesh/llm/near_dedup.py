@@ -5,10 +5,10 @@ weighted by a damped count (integers, so sums don't depend on the order).  Two d
 are near duplicates when their fingerprints differ in at most ``radius`` bits; groups are
 the connected components of that relation and the smallest doc_id of a group stays.
 
-The search is exact.  Fingerprints fall into eight 16-bit blocks; a pair within ``radius``
-has a block in which it differs by at most ``radius // 8`` bits (pigeonhole), so eight
-vantage-point trees, one for each block, each searched with that small radius, find every
-pair.  The top levels of a tree, fitted on a sample, are shards: a fingerprint is stored
+The search is exact.  Fingerprints fall into eight 16-bit blocks with a small reach each,
+such that reaches + 1 add up to ``radius + 1``; a pair that differs by more than its reach
+in every block is beyond the radius (pigeonhole), so eight vantage-point trees, one for
+each block, each searched with its reach, find every pair.  The top levels of a tree, fitted on a sample, are shards: a fingerprint is stored
 in the shard that it falls into and visits each shard that its ball overlaps by the
 triangle bound.  Within a shard the tree is continued over all stored fingerprints, and
 the pairs of its leaves are compared on all 128 bits.  A pair is reported once: by the
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.common import bounded_sample, cut, project, table
 
-RADIUS = 15
+RADIUS = 19
 BLOCKS = 8
 SHARD_ROWS = 32_768
 SAMPLE = 4_096
@@ -95,6 +95,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(_fingerprint_batches, "doc_id long, f0 long, f1 long")
 
 
+def reach_of(block: int, radius: int) -> int:
+    """Differing bits that a block is searched with; reaches + 1 add up to radius + 1.  -1: the block isn't needed."""
+    return (radius + 1) // BLOCKS + (block < (radius + 1) % BLOCKS) - 1
+
+
 def block_values(f0: np.ndarray, f1: np.ndarray, block: int) -> np.ndarray:
     half = (f0 if block < BLOCKS // 2 else f1).astype(np.int64).view(np.uint64)
     return ((half >> np.uint64(16 * (BLOCKS // 2 - 1 - block % (BLOCKS // 2)))) & np.uint64(0xFFFF)).astype(np.uint16)
@@ -154,7 +159,7 @@ def route(values: np.ndarray, nodes: list[list[int]], reach: int) -> Iterator[tu
 
 def search(block: int, pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
     """All pairs of a shard that this block must report."""
-    reach = radius // BLOCKS
+    reach = reach_of(block, radius)
     f0, f1, rep, home = (pdf[c].to_numpy() for c in ("f0", "f1", "rep", "home"))
     f0, f1 = f0.view(np.uint64), f1.view(np.uint64)
     values = block_values(f0, f1, block)
@@ -190,7 +195,7 @@ def search(block: int, pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
     first = np.full(len(a), BLOCKS)
     for k in range(BLOCKS - 1, -1, -1):
         v = block_values(f0, f1, k)
-        first[np.bitwise_count(v[a] ^ v[b]) <= reach] = k
+        first[np.bitwise_count(v[a] ^ v[b]).astype(np.int16) <= reach_of(k, radius)] = k
     mine = first == block
     return pd.DataFrame({"a": rep[a][mine], "b": rep[b][mine], "dist": d[mine].astype(np.int32)})
 
@@ -204,12 +209,14 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_
     rows = bounded_sample(prints.select("f0", "f1"), n, sample, "f0", "f1").collect() if depth else []
     s0, s1 = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
     trees = [grow(block_values(s0, s1, k), depth) for k in range(BLOCKS)]
-    reach = radius // BLOCKS
+    reaches = [reach_of(k, radius) for k in range(BLOCKS)]
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             f0, f1, rep = (pdf[c].to_numpy() for c in ("f0", "f1", "rep"))
-            for k, tree in enumerate(trees):
+            for k, (tree, reach) in enumerate(zip(trees, reaches)):
+                if reach < 0:
+                    continue
                 for leaf, at, home in route(block_values(f0, f1, k), tree, reach):
                     yield pd.DataFrame({"place": np.full(len(at), leaf * BLOCKS + k, np.int64), "f0": f0[at], "f1": f1[at], "rep": rep[at], "home": home})
 

@@ -102,3 +102,41 @@ def test_long_chain_is_one_group(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.label for r in nd.components(edges).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def trigrams(text: str) -> frozenset:
+    w = re.findall(r"\w+", text.lower())
+    return frozenset(zip(w, w[1:], w[2:]))
+
+
+def test_recall_against_trigram_similarity(spark):
+    """Pairs by exact word-trigram Jaccard over all texts, without a bound on Hamming distance."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: trigrams(r.text or "") for r in docs.collect()}
+    holders: dict = {}
+    for i, grams in sets.items():
+        for g in grams:
+            holders.setdefault(g, []).append(i)
+    shared = {p for ids in holders.values() if len(ids) <= 60 for p in itertools.combinations(sorted(ids), 2)}
+    pairs = [(a, b) for a, b in shared if 0.6 <= len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 1]
+    got = {r.doc_id: r.group_id for r in nd.near_duplicates(docs).collect()}
+    assert len(pairs) > 80 and sum(got[a] == got[b] for a, b in pairs) / len(pairs) > 0.97
+
+
+@pytest.mark.parametrize("radius", [0, 6, 15, 19, 20, 127])
+def test_reaches_cover_the_radius(radius):
+    assert sum(nd.reach_of(k, radius) + 1 for k in range(nd.BLOCKS)) == radius + 1
+
+
+def test_all_pairs_at_the_default_radius():
+    rng = np.random.default_rng(8)
+    base = rng.integers(-(2**63), 2**63 - 1, (2000, 2))
+    bits = np.unpackbits(base.astype(">i8").view(np.uint8), axis=1)
+    for row in bits:
+        row[rng.choice(128, 19, replace=False)] ^= 1
+    f = np.vstack([base, np.packbits(bits, axis=1).view(">i8").astype(np.int64)])
+    import pandas as pd
+
+    pdf = pd.DataFrame({"f0": f[:, 0], "f1": f[:, 1], "rep": np.arange(4000), "home": True})
+    found = pd.concat([nd.search(k, pdf, nd.RADIUS) for k in range(nd.BLOCKS)])
+    assert {(a, a + 2000) for a in range(2000)} <= set(zip(found["a"], found["b"])) and not found.duplicated(["a", "b"]).any()
