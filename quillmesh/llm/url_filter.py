@@ -7,9 +7,11 @@ underscores, percent escapes; an IP host, a port, a fragment, https, www; and su
 statistics: the smoothed rate of bad URLs among the training URLs with the same top-level
 domain, the same registered domain (last two labels) and the same host.
 
-Training URLs are labelled by ``bad_host``: a list of seed terms in the host, as block
-lists have them.  The trees never see those terms; training rows get suffix statistics
-from the other folds only, so a host's own label doesn't leak.  Trees are grown best level by
+Training URLs are labelled bad by terms in the host, by category, as block lists have
+them: terms that no other word holds anywhere in the host, the rest as whole runs of
+letters.  A URL without a term is unlabelled rather than known to be good, and counts for
+``UNKNOWN`` of a row as a good example.  The trees never see the terms; training rows get
+suffix statistics from the other folds only, so a host's own label doesn't leak.  Trees are grown best level by
 level on quantile bins with Newton steps for the logistic loss.  The sample holds at most
 ``max_rows`` URLs of either label, chosen by hash; every URL of the table is scored.
 
@@ -35,7 +37,17 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.common import bounded_sample, project, table
 
-SEEDS = ("spam", "pills", "casino", "viagra", "porn", "xxx", "betting", "payday", "warez", "phish")
+#: Terms by category: found anywhere in a host, and as whole runs of its letters.
+TERMS = {
+    "spam": (("spam", "phish", "malware", "warez"), ("scam", "scams", "crack", "cracks", "keygen", "torrent", "torrents")),
+    "pharmacy": (("pills", "viagra", "cialis", "pharmacy"), ("pill", "meds", "drugs")),
+    "gambling": (("casino", "betting", "gambling", "jackpot"), ("bet", "bets", "poker", "slots", "lottery", "roulette")),
+    "adult": (("porn", "xxx"), ("adult", "adults", "sex", "sexy", "nude", "nudes", "escort", "escorts", "webcams")),
+    "ads": (("adserver", "doubleclick"), ("ads", "adserv", "advert", "adverts", "banners", "popup", "popups", "track", "tracker", "trackers", "tracking")),
+    "loans": (("payday",), ("loan", "loans")),
+}
+SEEDS = tuple(t for kinds in TERMS.values() for kind in kinds for t in kind)
+UNKNOWN = 0.5
 MAX_ROWS = 10_000
 TREES, DEPTH, RATE, BINS, PENALTY, LEAST = 60, 4, 0.15, 32, 1.0, 5
 FLAG, FOLDS, PRIOR = 0.5, 5, 5.0
@@ -49,6 +61,12 @@ def host_of(url: str) -> str:
     return found.group(2).lower() if found else ""
 
 
+def bad_host(terms: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = TERMS) -> str:
+    """A regular expression that finds a term in a lower-case host."""
+    anywhere, whole = ("|".join(t for kinds in terms.values() for t in kinds[k]) for k in (0, 1))
+    return rf"(?:{anywhere})|(?<![a-z])(?:{whole})(?![a-z])"
+
+
 def suffixes(host: str) -> tuple[str, str, str]:
     labels = host.split(".")
     return labels[-1], ".".join(labels[-2:]), host
@@ -77,16 +95,16 @@ def lexical(url: str) -> list[float]:
 
 
 class SuffixRates:
-    """Smoothed share of bad URLs by suffix."""
+    """Smoothed share of bad URLs by suffix, each URL with its weight."""
 
-    def __init__(self, urls: list[str], bad: np.ndarray):
-        self.prior = float((bad.sum() + 0.5) / (len(bad) + 1))
+    def __init__(self, urls: list[str], bad: np.ndarray, weight: np.ndarray):
+        self.prior = float(((bad * weight).sum() + 0.5) / (weight.sum() + 1))
         sums: dict[tuple[int, str], list[float]] = defaultdict(lambda: [0.0, 0.0])
-        for url, b in zip(urls, bad):
+        for url, b, w in zip(urls, bad, weight):
             for k, s in enumerate(suffixes(host_of(url))):
                 at = sums[k, s]
-                at[0] += b
-                at[1] += 1
+                at[0] += b * w
+                at[1] += w
         self.rates = {key: (b + PRIOR * self.prior) / (n + PRIOR) for key, (b, n) in sums.items()}
 
     def of(self, urls: list[str]) -> np.ndarray:
@@ -134,9 +152,10 @@ def best_split(bins: np.ndarray, g: np.ndarray, h: np.ndarray, n_bins: int = BIN
     return (float(best), k // n_bins, k % n_bins) if best > 1e-6 else None
 
 
-def train(urls: list[str], bad: np.ndarray, trees: int = TREES) -> Forest:
+def train(urls: list[str], bad: np.ndarray, trees: int = TREES, weight: np.ndarray | None = None) -> Forest:
     bad = bad.astype(np.float64)
-    whole = SuffixRates(urls, bad)
+    weight = np.ones(len(bad)) if weight is None else weight
+    whole = SuffixRates(urls, bad, weight)
     nodes = 2 ** (DEPTH + 1) - 1
     base = math.log(whole.prior / (1 - whole.prior))
     if not len(bad) or bad.min() == bad.max():
@@ -147,7 +166,7 @@ def train(urls: list[str], bad: np.ndarray, trees: int = TREES) -> Forest:
         asked = np.nonzero(fold == k)[0]
         other = np.nonzero(fold != k)[0]
         if len(asked):
-            rates[asked] = SuffixRates([urls[i] for i in other], bad[other]).of([urls[i] for i in asked])
+            rates[asked] = SuffixRates([urls[i] for i in other], bad[other], weight[other]).of([urls[i] for i in asked])
     x = np.column_stack([np.array([lexical(u) for u in urls], np.float64), rates])
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
     bins = np.column_stack([np.searchsorted(c, v, side="left") for c, v in zip(cuts, x.T)])
@@ -155,7 +174,7 @@ def train(urls: list[str], bad: np.ndarray, trees: int = TREES) -> Forest:
     score = np.full(len(urls), base)
     for t in range(trees):
         p = 1 / (1 + np.exp(-score))
-        g, h = p - bad, np.maximum(p * (1 - p), 1e-6)
+        g, h = weight * (p - bad), weight * np.maximum(p * (1 - p), 1e-6)
         level = {0: np.arange(len(urls))}
         for depth in range(DEPTH + 1):
             below = {}
@@ -176,11 +195,12 @@ def train(urls: list[str], bad: np.ndarray, trees: int = TREES) -> Forest:
 def fit(pages: DataFrame, max_rows: int = MAX_ROWS) -> Forest:
     urls = project(pages, url=("url", "string")).where(F.col("url").rlike(r"\S")).distinct()
     host = F.lower(F.regexp_extract("url", r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    marked = urls.select("url", host.rlike("|".join(SEEDS)).alias("bad"))
+    marked = urls.select("url", host.rlike(bad_host()).alias("bad"))
     sizes = {r["bad"]: r["count"] for r in marked.groupBy("bad").count().collect()}
     rows = [r for b, n in sorted(sizes.items()) for r in bounded_sample(marked.where(F.col("bad") == b), n, max_rows, "url").collect()]
     rows.sort(key=lambda r: (xxhash.xxh3_64_intdigest(r["url"]), r["url"]))
-    return train([r["url"] for r in rows], np.array([r["bad"] for r in rows], np.float64))
+    bad = np.array([r["bad"] for r in rows], np.float64)
+    return train([r["url"] for r in rows], bad, weight=np.where(bad > 0, 1.0, UNKNOWN))
 
 
 def score(pages: DataFrame, forest: Forest, flag: float = FLAG) -> DataFrame:

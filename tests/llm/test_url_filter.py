@@ -73,3 +73,36 @@ def test_defined_cases(spark):
     assert uf.score(df.limit(0), uf.fit(df.limit(0))).collect() == []
     one = uf.train(["http://a.com/"] * 3, np.zeros(3))
     assert (one.predict(["http://a.com/", "q"]) < 0.5).all()
+
+
+#: The bad hosts of the pages, read off the table.
+FAMILIES = ("casino-win", "cheap-pills", "spam-farm", "free-bets", "adult-x", "ads-track")
+
+
+def test_every_bad_family_goes(spark):
+    """Against a list of hosts that SEEDS had no part in."""
+    for sf in ("sf0.01", "sf0.1"):
+        pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
+        rows = uf.score(pages, uf.fit(pages)).collect()
+        good = [r for r in rows if not any(f in r.url for f in FAMILIES)]
+        for f in FAMILIES:
+            of = [r for r in rows if f in r.url]
+            assert not of or sum(not r.keep for r in of) / len(of) > 0.9, (sf, f)
+        assert sum(not r.keep for r in good) / len(good) < 0.01
+
+
+def test_terms():
+    import re
+
+    bad = re.compile(uf.bad_host())
+    for host in ("m.free-bets.example.com", "adult-x.example.net", "www.ads-track.example.org", "cheappills.com", "bets24.com", "casinos.example.com"):
+        assert bad.search(host), host
+    for host in ("alphabets.example.com", "threads.example.com", "roads.org", "essex.ac.uk", "adulthood.org", "tracks.example.com", "blog.tionsh.example.net"):
+        assert not bad.search(host), host
+
+
+def test_weight_counts_like_repeated_rows():
+    urls = ["http://a.com/x", "http://a.com/y", "http://b.com/z"]
+    once = uf.SuffixRates(urls, np.array([1.0, 0.0, 0.0]), np.array([1.0, 2.0, 1.0]))
+    many = uf.SuffixRates([*urls, urls[1]], np.array([1.0, 0.0, 0.0, 0.0]), np.ones(4))
+    assert once.rates == many.rates and once.prior == many.prior
