@@ -98,6 +98,12 @@ def dense_topk(spark, sf):
     return vectors.dense_topk(e.where("vec_id < 20").select(F.col("vec_id").alias("qid"), "embedding"), e, 10)
 
 
+def dense_topk_all(spark, sf):
+    """Every row as a query."""
+    e = table(spark, sf, "embeddings")
+    return vectors.dense_topk(e.select(F.col("vec_id").alias("qid"), "embedding"), e, 10)
+
+
 def sparse_topk(spark, sf):
     return vectors.sparse_topk(asked(spark, sf), items(spark, sf), 10).select("qid", "item", "score", "rank")
 
@@ -315,7 +321,7 @@ def relevant_ids(spark, sf):
 
 def lsh_topk(spark, sf):
     e = table(spark, sf, "embeddings")
-    return vectors.lsh_topk(e.where("vec_id < 20").select(F.col("vec_id").alias("qid"), "embedding"), e, 10)
+    return vectors.lsh_topk(e.select(F.col("vec_id").alias("qid"), "embedding"), e, 10)
 
 
 def yaml_frontmatter(spark, sf):
@@ -356,7 +362,7 @@ def event_windows(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        hybrid_topk, tokens_lex, tokens_embed, hash_buckets, tf_vectors, dense_topk, sparse_topk, bm25_stats, bm25_topk, rrf_fusion, tag_boost, link_boost, note_aliases,
+        hybrid_topk, tokens_lex, tokens_embed, hash_buckets, tf_vectors, dense_topk, dense_topk_all, sparse_topk, bm25_stats, bm25_topk, rrf_fusion, tag_boost, link_boost, note_aliases,
         keyword_guard, note_cap_topk, note_title, note_tags, note_links, tag_exclude, sections, clean_text, sentences, chunks, chunk_notes, passages, context_budget,
         sources_text, compact_sources, extractive_answer, plan_route, expand_query, message_split, corpus_counts, recall_mrr, misses, coverage, citations, judge_parse,
         rag_summary, rag_report, relevant_ids, get_note, max_chunks, jsonl_roundtrip, index_saved, index_append, lsh_topk, yaml_frontmatter, html_format, mojibake_fix, agent_answers, event_windows,
@@ -501,6 +507,7 @@ ORACLES = {
     "hash_buckets": f"SELECT doc_id, {_bucket('t')} AS bucket, count(*) AS tf FROM (SELECT doc_id, unnest({_emb('text')}) AS t FROM documents) GROUP BY ALL",
     "tf_vectors": f"WITH b AS (SELECT doc_id, {_bucket('t')} AS bucket, count(*) AS tf FROM (SELECT doc_id, unnest({_emb('text')}) AS t FROM documents) GROUP BY ALL) SELECT doc_id, bucket, round(tf / (sqrt(sum(tf * tf) OVER (PARTITION BY doc_id)) + 1e-12), 6) AS w FROM b",
     "dense_topk": "SELECT * FROM (SELECT q.vec_id AS qid, e.vec_id, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id)::INTEGER AS rank FROM embeddings q, embeddings e WHERE q.vec_id < 20) WHERE rank <= 10",
+    "dense_topk_all": "SELECT * FROM (SELECT q.vec_id AS qid, e.vec_id, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id)::INTEGER AS rank FROM embeddings q, embeddings e) WHERE rank <= 10",
     "sparse_topk": f"WITH i AS (SELECT doc_id AS item, text FROM documents), q AS (SELECT item_id AS qid, text FROM benchmark), {_vector_leg('i', 'item', 'text', 'q', 10)} SELECT qid, item, score, rank::INTEGER AS rank FROM vec",
     "bm25_stats": f"WITH i AS (SELECT doc_id AS item, text FROM documents), q AS (SELECT item_id AS qid, text FROM benchmark), {_bm25_leg('i', 'item', 'text', 'q', 10)} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "bm25_topk": f"WITH i AS (SELECT doc_id AS item, text FROM documents), q AS (SELECT item_id AS qid, text FROM benchmark), {_bm25_leg('i', 'item', 'text', 'q', 10)} SELECT qid, item, score, rank::INTEGER AS rank FROM bm",
