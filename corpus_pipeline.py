@@ -2,8 +2,9 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir), where docs is what
 the stage before kept, and returns a DataFrame.  All but the last return the columns of
-documents.  ``run`` applies them to the documents table, each stage's result written to the
-shared checkpoint folder and read again by the next one.
+documents.  ``run`` applies them to the documents table, each stage's result written as
+Parquet to a folder of its own under the shared checkpoint folder and read again by the
+next one.
 
 Rows with a null doc_id go through the first three stages like any other row, as a text can
 be judged without an id; mixing, which has to name what it serves, leaves them out.
@@ -11,10 +12,12 @@ be judged without an id; mixing, which has to name what it serves, leaves them o
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import cut, table
+from quillmesh.llm.common import ensure_checkpoint_dir, table
 from quillmesh.llm.decontaminate import without_test_items
 from quillmesh.llm.mixing import mix
 from quillmesh.llm.near_dedup import near_duplicates
@@ -67,7 +70,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{k}_{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -44,3 +44,12 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert final.columns.count("shard") == 1
     for _, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), SF).collect() == []
+
+
+def test_stages_leave_parquet(spark):
+    files = cp.run(spark, SF).inputFiles()
+    last = len(cp.STAGES) - 1
+    assert files and all(f"/{last}_shard/" in f and f.endswith(".parquet") for f in files)
+    folder = files[0].split(f"/{last}_shard/")[0]
+    kept = [spark.read.parquet(f"{folder}/{k}_{name}").count() for k, (name, _) in enumerate(cp.STAGES)]
+    assert kept == sorted(kept, reverse=True) and kept[-1] > 0
