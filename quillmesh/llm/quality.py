@@ -15,8 +15,11 @@ Defined cases: a text that is null or has no words is rejected outright by the r
 "empty".  A stratum without enough labels to prove anything has no cutoffs and loses
 nothing else.  Null language: a stratum of its own.  Labels: null doc_ids and null
 qualities are ignored, a document with contradicting labels counts as bad, repeated rows
-count once.  Null doc_ids and repeated rows of documents are judged like any other row.
-Empty tables: no rows, or no cutoffs.
+count once; of several texts with one labelled doc_id the one with the least hash counts.
+Null doc_ids and repeated rows of documents are judged like any other row, and very long
+texts whole.  Ties: a signal equal to the cutoff passes.  Extra columns: ignored, or kept
+by ``keep_good``.  Empty tables: no rows, or no cutoffs.  The driver gets one row of counts
+for each language among the labelled documents.
 """
 
 from __future__ import annotations
@@ -54,11 +57,12 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 
 def signals(text: Column) -> dict[str, Column]:
     chars = F.greatest(F.length(text), F.lit(1)).cast("double")
-    words = F.regexp_extract_all(text, F.lit(r"([^ \t\r\n]+)"), F.lit(1))
-    n = F.size(words)
-    repetition = F.when(n > 1, 1 - F.log(F.size(F.array_distinct(words)).cast("double")) / F.log(n.cast("double"))).otherwise(0.0)
-    share = lambda chosen: (F.length(text) - F.length(F.translate(text, chosen, ""))) / chars
-    return {"symbols": share(SYMBOLS), "capitals": share(CAPITALS), "repetition": repetition}
+    words = F.array_remove(F.split(text, r"[ \t\r\n]+"), "")
+    log_size = lambda x: F.log(F.size(x).cast("double"))
+    repeated = lambda w: F.when(F.size(w) > 1, 1 - log_size(F.array_distinct(w)) / log_size(w)).otherwise(0.0)
+    share = lambda chosen: F.regexp_count(text, F.lit(f"[{chosen}]")) / chars
+    # words are a function's argument, so that they are made once though used three times
+    return {"symbols": share(SYMBOLS), "capitals": share(CAPITALS), "repetition": F.get(F.transform(F.array(words), repeated), 0)}
 
 
 def certify(good: int, rejected: list[int], bad: int, bad_rejected: list[int], grid: tuple[float, ...], risk: float, level: float) -> float | None:
@@ -77,10 +81,11 @@ def cutoffs(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float
     """For each stratum with labels: its cutoffs by rule (None: nothing certified).  The counts are over all labelled documents."""
     rows = project(docs, doc_id=("doc_id", "long"), text=("text", "string"), stratum=("lang", "string"))
     rows = rows.where(F.col("text").rlike(r"[^ \t\r\n]"))
-    rows = rows.select("doc_id", "stratum", *[c.alias(r) for r, c in signals(F.col("text")).items()])
+    rows = rows.select("doc_id", "stratum", F.xxhash64("text").alias("draw"), *[c.alias(r) for r, c in signals(F.col("text")).items()])
     marks = project(labels, doc_id=("doc_id", "long"), quality=("quality", "int")).where("doc_id is not null and quality is not null")
     marks = marks.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    held = rows.join(marks, "doc_id").dropDuplicates(["doc_id"])
+    one = F.min(F.struct("draw", "stratum", *RULES)).alias("one")
+    held = rows.join(marks, "doc_id").groupBy("doc_id").agg(one, F.first("quality").alias("quality")).select("quality", "one.*")
     good, bad = F.col("quality") > 0, F.col("quality") <= 0
     counts = held.groupBy("stratum").agg(
         F.count_if(good).alias("good"),
@@ -123,3 +128,39 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: flo
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_GRID = ", ".join(f"('{r}', {c}::DOUBLE)" for r in RULES for c in GRID[r])
+_BROKEN = ", ".join(f"CASE WHEN s.{r} > l.{r} THEN '{r}' END" for r in RULES)
+ORACLE = rf"""
+WITH d AS (
+    SELECT doc_id, lang, coalesce(regexp_matches(text, '[^ \t\r\n]'), false) AS worded, text, greatest(length(text), 1)::DOUBLE AS chars,
+           list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda x: x <> '') AS w
+    FROM documents),
+s AS (
+    SELECT doc_id, lang, worded, length(regexp_replace(text, '[^{SYMBOLS}]', '', 'g')) / chars AS symbols,
+           length(regexp_replace(text, '[^{CAPITALS}]', '', 'g')) / chars AS capitals,
+           CASE WHEN len(w) > 1 THEN 1 - ln(len(list_distinct(w))::DOUBLE) / ln(len(w)::DOUBLE) WHEN text IS NOT NULL THEN 0 END AS repetition
+    FROM d),
+m AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+held AS (SELECT s.*, quality > 0 AS good FROM s JOIN m USING (doc_id) WHERE worded),
+long AS (UNPIVOT held ON {", ".join(RULES)} INTO NAME rule VALUE signal),
+counted AS (
+    SELECT lang, rule, cutoff, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE good AND signal > cutoff) AS k,
+           count(*) FILTER (WHERE NOT good) AS bad, count(*) FILTER (WHERE NOT good AND signal > cutoff) AS b
+    FROM long JOIN (VALUES {_GRID}) g(rule, cutoff) USING (rule) GROUP BY lang, rule, cutoff),
+tails AS (
+    SELECT *, CASE WHEN k >= n THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+               + i * ln({RISK / len(RULES)!r}) + (n - i) * ln(1 - {RISK / len(RULES)!r})))) END AS tail,
+           {DELTA!r} / ({len(RULES)} * (SELECT count(DISTINCT coalesce(lang, chr(0))) FROM held)) AS level
+    FROM counted),
+passed AS (SELECT *, bool_and(tail <= level) OVER (PARTITION BY lang, rule ORDER BY cutoff DESC) AS ok FROM tails),
+best AS (
+    SELECT lang, rule, cutoff FROM passed WHERE ok
+    QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY b / greatest(bad, 1) - k / greatest(n, 1) DESC, cutoff DESC) = 1),
+l AS (SELECT lang, {", ".join(f"max(cutoff) FILTER (WHERE rule = '{r}') AS {r}" for r in RULES)} FROM best GROUP BY lang),
+f AS (
+    SELECT s.doc_id, s.lang, array_to_string(list_filter([CASE WHEN NOT worded THEN 'empty' END, {_BROKEN}], lambda x: x IS NOT NULL), ',') AS failed
+    FROM s LEFT JOIN l ON s.lang IS NOT DISTINCT FROM l.lang)
+SELECT doc_id, lang, failed, failed = '' AS keep FROM f
+"""
