@@ -5,20 +5,27 @@ weighted by a damped count (integers, so sums don't depend on the order).  Two d
 are near duplicates when their fingerprints differ in at most ``radius`` bits; groups are
 the connected components of that relation and the smallest doc_id of a group stays.
 
-The search is exact.  Fingerprints fall into eight 16-bit blocks with a small reach each,
-such that reaches + 1 add up to ``radius + 1``; a pair that differs by more than its reach
-in every block is beyond the radius (pigeonhole), so eight vantage-point trees, one for
-each block, each searched with its reach, find every pair.  The top levels of a tree, fitted on a sample, are shards: a fingerprint is stored
-in the shard that it falls into and visits each shard that its ball overlaps by the
-triangle bound.  Within a shard the tree is continued over all stored fingerprints, and
-the pairs of its leaves are compared on all 128 bits.  A pair is reported once: by the
-first block that can find it, in the shard where its smaller member is stored.  The
-sample decides how even shards are, never what is found.
+The search is exact.  A fingerprint's bits fall into blocks with a small reach each, such
+that reaches + 1 add up to ``radius + 1``; a pair that differs by more than its reach in
+every block is beyond the radius (pigeonhole), so one vantage-point tree for each block,
+searched with the block's reach, finds every pair.  Blocks are about as wide as the binary
+logarithm of the number of fingerprints (16 to 32 bits): what a block's ball holds then
+grows far more slowly than the corpus.
+
+The top levels of a tree, fitted on a sample, are shards: a fingerprint is stored in the
+shard that it falls into and visits each shard that its ball overlaps by the triangle
+bound; a shard with many visitors is searched in slices, each with all that is stored.
+Within a slice a tree over the distinct block values that are stored is searched by all
+visitors at once, level by level; branches go by the least and greatest distance to their
+vantage point.  Values within reach lead to pairs, which are compared on all 128 bits.  A
+pair is reported once: by the first block that can find it, in the shard where its smaller
+member is stored.  The sample decides how even shards are, never what is found.
 
 Defined cases: null doc_id: no row.  Null, empty or blank text: no fingerprint; its own
-group, kept.  Text without word characters: its stripped form is the only feature.
-Repeated doc_ids: one row.  Copies share one fingerprint and cost one entry however many.
-Empty table: no rows.
+group, kept.  Text without word characters: its stripped form is the only feature.  Very
+long texts: read whole.  Repeated doc_ids: one row; with several texts it belongs to the
+group with the smallest id.  Copies share one fingerprint and cost one entry however many.
+Ties: none, as the smallest doc_id decides.  Extra columns: ignored.  Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +34,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -37,11 +45,11 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import bounded_sample, cut, project, table
 
 RADIUS = 19
-BLOCKS = 8
-SHARD_ROWS = 32_768
-SAMPLE = 4_096
-LEAF = 128
+SHARD_ROWS, SLICE_ROWS = 262_144, 524_288
+SAMPLE_PER_SHARD = 64
+LEAF = 16
 _WORD = re.compile(r"\w+")
+_WEIGHTS = [0] + [round(16 * (1 + math.log(c))) for c in range(1, 4096)]
 
 
 def features(text: str) -> dict[str, int]:
@@ -49,32 +57,46 @@ def features(text: str) -> dict[str, int]:
     if not counts:
         whole = text.strip()
         return {whole: 16} if whole else {}
-    return {w: round(16 * (1 + math.log(c))) for w, c in counts.items()}
+    return {w: 16 if c == 1 else _WEIGHTS[c] if c < 4096 else round(16 * (1 + math.log(c))) for w, c in counts.items()}
 
 
-def _bits(words: list[str]) -> np.ndarray:
-    raw = b"".join(xxhash.xxh3_128_digest(w.encode("utf-8", "surrogatepass")) for w in words)
-    return np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 16), axis=1).astype(np.float32) * 2 - 1
+class Digests(dict):
+    """word -> the row of its 128-bit hash in ``raw``."""
 
+    def __init__(self, room: int = 200_000):
+        super().__init__()
+        self.raw = np.zeros((room, 16), np.uint8)
 
-def simhash(texts: list[str], tokens_at_once: int = 16_384) -> np.ndarray:
+    def __missing__(self, word: str) -> int:
+        at = len(self)
+        if at == len(self.raw):
+            self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
+        self.raw[at] = np.frombuffer(xxhash.xxh3_128_digest(word.encode("utf-8", "surrogatepass")), np.uint8)
+        self[word] = at
+        return at
+
+
+def simhash(texts: list[str], tokens_at_once: int = 4_096, known: Digests | None = None) -> np.ndarray:
     """(n, 2) int64 fingerprints; texts must have at least one feature."""
+    known = Digests() if known is None else known
     out = np.zeros((len(texts), 2), np.int64)
 
-    def flush(rows: list[int], words: list[str], weights: list[int], starts: list[int]) -> None:
+    def flush(rows: list[int], words: list[int], weights: list[int], starts: list[int]) -> None:
         if rows:
-            votes = np.add.reduceat(_bits(words) * np.array(weights, np.float32)[:, None], starts, axis=0)
+            bits = np.unpackbits(known.raw[words], axis=1).astype(np.float32)
+            bits *= np.array(weights, np.float32)[:, None]
+            votes = 2 * np.add.reduceat(bits, starts, axis=0) - np.add.reduceat(np.array(weights, np.float32), starts)[:, None]
             out[rows] = np.packbits(votes > 0, axis=1).view(">i8").astype(np.int64)
 
     rows: list[int] = []
-    words: list[str] = []
+    words: list[int] = []
     weights: list[int] = []
     starts: list[int] = []
     for i, text in enumerate(texts):
         f = features(text)
         rows.append(i)
         starts.append(len(words))
-        words.extend(f)
+        words.extend(map(known.__getitem__, f))
         weights.extend(f.values())
         if len(words) >= tokens_at_once:
             flush(rows, words, weights, starts)
@@ -84,8 +106,11 @@ def simhash(texts: list[str], tokens_at_once: int = 16_384) -> np.ndarray:
 
 
 def _fingerprint_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known = Digests()
     for pdf in batches:
-        fp = simhash(pdf["text"].tolist())
+        if len(known) > 200_000:
+            known = Digests()
+        fp = simhash(pdf["text"].tolist(), known=known)
         yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "f0": fp[:, 0], "f1": fp[:, 1]})
 
 
@@ -95,14 +120,29 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(_fingerprint_batches, "doc_id long, f0 long, f1 long")
 
 
-def reach_of(block: int, radius: int) -> int:
-    """Differing bits that a block is searched with; reaches + 1 add up to radius + 1.  -1: the block isn't needed."""
-    return (radius + 1) // BLOCKS + (block < (radius + 1) % BLOCKS) - 1
+class Block(NamedTuple):
+    """Bits lo to hi of a fingerprint, searched with so many differing bits."""
 
+    lo: int
+    hi: int
+    reach: int
 
-def block_values(f0: np.ndarray, f1: np.ndarray, block: int) -> np.ndarray:
-    half = (f0 if block < BLOCKS // 2 else f1).astype(np.int64).view(np.uint64)
-    return ((half >> np.uint64(16 * (BLOCKS // 2 - 1 - block % (BLOCKS // 2)))) & np.uint64(0xFFFF)).astype(np.uint16)
+    def of(self, f0: np.ndarray, f1: np.ndarray) -> np.ndarray:
+        high, low = f0.view(np.uint64), f1.view(np.uint64)
+        mask = np.uint64((1 << self.hi - self.lo) - 1)
+        if self.hi <= 64:
+            return (high >> np.uint64(64 - self.hi) & mask).astype(np.uint32)
+        if self.lo >= 64:
+            return (low >> np.uint64(128 - self.hi) & mask).astype(np.uint32)
+        return ((high << np.uint64(self.hi - 64) | low >> np.uint64(128 - self.hi)) & mask).astype(np.uint32)
+
+
+def blocks_for(n: int, radius: int) -> list[Block]:
+    """Blocks for n fingerprints; reaches + 1 add up to radius + 1, and a block that isn't needed is left out."""
+    k = 128 // min(32, max(16, (max(n, 2) - 1).bit_length()))
+    edges = [128 * i // k for i in range(k + 1)]
+    reaches = [(radius + 1) // k + (i < (radius + 1) % k) - 1 for i in range(k)]
+    return [Block(lo, hi, reach) for lo, hi, reach in zip(edges, edges[1:], reaches) if reach >= 0]
 
 
 def _pick(values: np.ndarray) -> tuple[int, int] | None:
@@ -133,7 +173,7 @@ def grow(values: np.ndarray, depth: int) -> list[list[int]]:
             leaves += 1
             return at
         nodes.append([split[0], split[1], 0, 0])
-        d = np.bitwise_count(v ^ np.uint16(split[0]))
+        d = np.bitwise_count(v ^ np.uint32(split[0]))
         nodes[at][2] = build(v[d <= split[1]], left - 1)
         nodes[at][3] = build(v[d > split[1]], left - 1)
         return at
@@ -151,80 +191,152 @@ def route(values: np.ndarray, nodes: list[list[int]], reach: int) -> Iterator[tu
         if vantage < 0:
             yield bound, rows, home
             continue
-        d = np.bitwise_count(values[rows] ^ np.uint16(vantage)).astype(np.int16)
+        d = np.bitwise_count(values[rows] ^ np.uint32(vantage)).astype(np.int16)
         for child, near, own in ((inner, d - reach <= bound, d <= bound), (outer, d + reach > bound, d > bound)):
             if near.any():
                 stack.append((child, rows[near], home[near] & own[near]))
 
 
-def search(block: int, pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
-    """All pairs of a shard that this block must report."""
-    reach = reach_of(block, radius)
-    f0, f1, rep, home = (pdf[c].to_numpy() for c in ("f0", "f1", "rep", "home"))
-    f0, f1 = f0.view(np.uint64), f1.view(np.uint64)
-    values = block_values(f0, f1, block)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def compare(stored: np.ndarray, asked: np.ndarray) -> None:
-        step = max(1, 2_000_000 // len(stored))
-        for k in range(0, len(asked), step):
-            q = asked[k : k + step]
-            d = np.bitwise_count(f0[stored, None] ^ f0[None, q]) + np.bitwise_count(f1[stored, None] ^ f1[None, q])
-            a, b = np.nonzero(d <= radius)
-            found.append((stored[a], q[b], d[a, b]))
-
-    stack = [(np.nonzero(home)[0], np.arange(len(rep)))]
-    while stack:
-        stored, asked = stack.pop()
-        if not len(stored) or not len(asked):
-            continue
-        split = _pick(values[stored]) if len(stored) > LEAF else None
-        if split is None:
-            compare(stored, asked)
-            continue
-        vantage, bound = np.uint16(split[0]), split[1]
-        ds = np.bitwise_count(values[stored] ^ vantage)
-        dq = np.bitwise_count(values[asked] ^ vantage).astype(np.int16)
-        stack.append((stored[ds <= bound], asked[dq - reach <= bound]))
-        stack.append((stored[ds > bound], asked[dq + reach > bound]))
-    if not found:
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "dist": np.zeros(0, np.int32)})
+class Tree:
+    """A vantage-point tree over distinct values, held as arrays and built level by level."""
+
+    def __init__(self, values: np.ndarray, leaf: int = LEAF):
+        order = np.arange(len(values))
+        start, size = np.zeros(1, np.int64), np.full(1, len(values), np.int64)
+        self.levels: list[dict[str, np.ndarray]] = []
+        while len(start):
+            inner = size > leaf
+            level = {"start": start, "size": size, "child": np.where(inner, 2 * (np.cumsum(inner) - 1), -1)}
+            s, n = start[inner], size[inner]
+            segment = np.repeat(np.arange(len(s)), n)
+            at = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(s, n)
+            vantage = values[order[s]]
+            d = np.bitwise_count(values[order[at]] ^ vantage[segment]).astype(np.int64)
+            key = segment * 64 + d
+            turn = np.argsort(key, kind="stable")
+            order[at], key = order[at[turn]], key[turn]
+            first = np.cumsum(n) - n
+            middle = key[first + (n - 1) // 2]
+            cut = np.stack([np.searchsorted(key, middle, "left"), np.searchsorted(key, middle, "right")]) - first
+            cut = np.where((cut > 0) & (cut < n), cut, -n)
+            cut = np.where(np.abs(2 * cut[0] - n) <= np.abs(2 * cut[1] - n), cut[0], cut[1])
+            near = lambda i: (key[i] & 63).astype(np.int16)
+            full = lambda x: np.zeros(len(start), x.dtype)
+            for name, x in (("vantage", vantage), ("in_lo", near(first)), ("in_hi", near(first + cut - 1)), ("out_lo", near(first + cut)), ("out_hi", near(first + n - 1))):
+                level[name] = full(x)
+                level[name][inner] = x
+            self.levels.append(level)
+            start, size = np.stack([s, s + cut], axis=1).ravel(), np.stack([cut, n - cut], axis=1).ravel()
+        self.order, self.values = order, values[order]
+
+    def within(self, asked: np.ndarray, reach: int, at_once: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(positions in the values, positions in asked) of all pairs within reach."""
+        for k in range(0, len(asked), at_once):
+            some = asked[k : k + at_once]
+            q, node = np.arange(len(some)), np.zeros(len(some), np.int64)
+            for level in self.levels:
+                child = level["child"][node]
+                leaf = child < 0
+                if leaf.any():
+                    at, who = node[leaf], q[leaf]
+                    n = level["size"][at]
+                    who, offset = np.repeat(who, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    spot = np.repeat(level["start"][at], n) + offset
+                    hit = np.bitwise_count(self.values[spot] ^ some[who]) <= reach
+                    if hit.any():
+                        yield self.order[spot[hit]], who[hit] + k
+                    node, q, child = node[~leaf], q[~leaf], child[~leaf]
+                d = np.bitwise_count(level["vantage"][node] ^ some[q]).astype(np.int16)
+                low, high = d - reach, d + reach
+                inner = (low <= level["in_hi"][node]) & (high >= level["in_lo"][node])
+                outer = (low <= level["out_hi"][node]) & (high >= level["out_lo"][node])
+                node, q = np.concatenate([child[inner], child[outer] + 1]), np.concatenate([q[inner], q[outer]])
+                if not len(q):
+                    break
+
+
+def _members(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, and for each: where its rows start in the last array, and how many they are."""
+    order = np.argsort(values, kind="stable")
+    distinct, start, count = np.unique(values[order], return_index=True, return_counts=True)
+    return distinct, start, count, order
+
+
+def _products(a: tuple, b: tuple, v: np.ndarray, q: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of a with value v against rows of b with value q, for all pairs (v, q), in pieces of about ``most``."""
+    na, nb = a[2][v], b[2][q]
+    total = np.cumsum(na * nb)
+    at = 0
+    while at < len(v):
+        upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        n, w = na[at:upto] * nb[at:upto], nb[at:upto]
+        for lo in range(0, int(n.sum()), most) if upto == at + 1 else (0,):
+            pair = np.repeat(np.arange(len(n)), n)[lo : lo + most] if upto == at + 1 else np.repeat(np.arange(len(n)), n)
+            offset = np.arange(lo, lo + len(pair)) - np.repeat(np.cumsum(n) - n, n)[lo : lo + len(pair)]
+            yield a[3][a[1][v[at:upto]][pair] + offset // w[pair]], b[3][b[1][q[at:upto]][pair] + offset % w[pair]]
+        at = upto
+
+
+def search(blocks: list[Block], k: int, pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
+    """All pairs of a slice that block k must report; kind 1: stored, 2: asked, 3: both."""
+    f0, f1, rep, kind = (pdf[c].to_numpy() for c in ("f0", "f1", "rep", "kind"))
+    u0, u1 = f0.view(np.uint64), f1.view(np.uint64)
+    values = blocks[k].of(f0, f1)
+    stored, asked = np.nonzero(kind & 1)[0], np.nonzero(kind & 2)[0]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
+    if len(stored) and len(asked):
+        a, b = _members(values[stored]), _members(values[asked])
+        a, b = (*a[:3], stored[a[3]]), (*b[:3], asked[b[3]])
+        for v, q in Tree(a[0]).within(b[0], blocks[k].reach):
+            for x, y in _products(a, b, v, q):
+                near = rep[x] < rep[y]
+                x, y = x[near], y[near]
+                d = np.bitwise_count(u0[x] ^ u0[y]) + np.bitwise_count(u1[x] ^ u1[y])
+                near = d <= radius
+                x, y, d = x[near], y[near], d[near]
+                for other in blocks[:k]:
+                    mine = np.bitwise_count(other.of(f0[x], f1[x]) ^ other.of(f0[y], f1[y])) > other.reach
+                    x, y, d = x[mine], y[mine], d[mine]
+                found.append((rep[x], rep[y], d.astype(np.int32)))
     a, b, d = (np.concatenate(x) for x in zip(*found))
-    keep = rep[a] < rep[b]
-    a, b, d = a[keep], b[keep], d[keep]
-    first = np.full(len(a), BLOCKS)
-    for k in range(BLOCKS - 1, -1, -1):
-        v = block_values(f0, f1, k)
-        first[np.bitwise_count(v[a] ^ v[b]).astype(np.int16) <= reach_of(k, radius)] = k
-    mine = first == block
-    return pd.DataFrame({"a": rep[a][mine], "b": rep[b][mine], "dist": d[mine].astype(np.int32)})
+    return pd.DataFrame({"a": a, "b": b, "dist": d})
 
 
-def near_pairs(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, sample: int = SAMPLE) -> DataFrame:
+def near_pairs(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Of distinct fingerprints (f0, f1, rep): every pair within the radius, as (a, b, dist) of reps, a < b."""
     if not 0 <= radius < 128:
         raise ValueError("radius must be from 0 to 127")
     n = prints.count()
+    blocks = blocks_for(n, radius)
     depth = max(0, math.ceil(math.log2(n / shard_rows))) if n else 0
-    rows = bounded_sample(prints.select("f0", "f1"), n, sample, "f0", "f1").collect() if depth else []
+    rows = bounded_sample(prints.select("f0", "f1"), n, SAMPLE_PER_SHARD << depth, "f0", "f1").collect() if depth else []
     s0, s1 = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
-    trees = [grow(block_values(s0, s1, k), depth) for k in range(BLOCKS)]
-    reaches = [reach_of(k, radius) for k in range(BLOCKS)]
+    trees = [grow(b.of(s0, s1), depth) for b in blocks]
+    slices: list[dict[int, int]] = []
+    for b, tree in zip(blocks, trees):
+        visits = {leaf: len(at) / len(rows) for leaf, at, _ in route(b.of(s0, s1), tree, b.reach)} if rows else {}
+        slices.append({leaf: max(1, round(visits.get(leaf, 1.0) * n / slice_rows)) for leaf in range(len(tree) // 2 + 1)})
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             f0, f1, rep = (pdf[c].to_numpy() for c in ("f0", "f1", "rep"))
-            for k, (tree, reach) in enumerate(zip(trees, reaches)):
-                if reach < 0:
-                    continue
-                for leaf, at, home in route(block_values(f0, f1, k), tree, reach):
-                    yield pd.DataFrame({"place": np.full(len(at), leaf * BLOCKS + k, np.int64), "f0": f0[at], "f1": f1[at], "rep": rep[at], "home": home})
+            turn = (f0.view(np.uint64) ^ f1.view(np.uint64)) >> np.uint64(20)
+            for k, (block, tree) in enumerate(zip(blocks, trees)):
+                for leaf, at, home in route(block.of(f0, f1), tree, block.reach):
+                    m = slices[k][leaf]
+                    own = (turn[at] % np.uint64(m)).astype(np.int64)
+                    for part in range(m):
+                        asked = own == part
+                        kind = home.astype(np.int8) + 2 * asked.astype(np.int8)
+                        sent = kind > 0
+                        rows = at[sent]
+                        yield pd.DataFrame({"block": np.full(len(rows), k, np.int32), "leaf": np.full(len(rows), leaf, np.int32), "slice": np.full(len(rows), part, np.int32), "f0": f0[rows], "f1": f1[rows], "rep": rep[rows], "kind": kind[sent]})
 
     def pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return search(int(key[0]) % BLOCKS, pdf, radius)
+        return search(blocks, int(key[0]), pdf, radius)
 
-    sent = prints.select("f0", "f1", "rep").mapInPandas(send, "place long, f0 long, f1 long, rep long, home boolean")
-    return sent.groupBy("place").applyInPandas(pairs, "a long, b long, dist int")
+    sent = prints.select("f0", "f1", "rep").mapInPandas(send, "block int, leaf int, slice int, f0 long, f1 long, rep long, kind byte")
+    return sent.groupBy("block", "leaf", "slice").applyInPandas(pairs, "a long, b long, dist int")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -68,8 +68,9 @@ def test_all_pairs_of_random_fingerprints(spark):
     df = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(prints)], "f0 long, f1 long, rep long")
     full = [((a & (2**64 - 1)) << 64) | (b & (2**64 - 1)) for a, b in prints]
     want = {(i, j, (full[i] ^ full[j]).bit_count()) for i, j in itertools.combinations(range(len(full)), 2) if (full[i] ^ full[j]).bit_count() <= 15}
-    got = nd.near_pairs(df, 15, shard_rows=16).collect()
-    assert len(got) == len(want) and {(r.a, r.b, r["dist"]) for r in got} == want and len(want) > 60
+    for shard_rows, slice_rows in ((16, 40), (10_000, 30), (60, 10_000)):
+        got = nd.near_pairs(df, 15, shard_rows, slice_rows).collect()
+        assert len(got) == len(want) and {(r.a, r.b, r["dist"]) for r in got} == want and len(want) > 60
 
 
 def test_deep_local_trees_miss_nothing():
@@ -80,8 +81,9 @@ def test_deep_local_trees_miss_nothing():
     f = np.vstack([base, flips])
     import pandas as pd
 
-    pdf = pd.DataFrame({"f0": f[:, 0], "f1": f[:, 1], "rep": np.arange(6000), "home": True})
-    found = pd.concat([nd.search(k, pdf, 15) for k in range(8)])
+    pdf = pd.DataFrame({"f0": f[:, 0], "f1": f[:, 1], "rep": np.arange(6000), "kind": 3})
+    blocks = nd.blocks_for(len(pdf), 15)
+    found = pd.concat([nd.search(blocks, k, pdf, 15) for k in range(len(blocks))])
     assert {(a, a + 3000) for a in range(3000)} <= set(zip(found["a"], found["b"])) and not found.duplicated(["a", "b"]).any()
 
 
@@ -124,8 +126,40 @@ def test_recall_against_trigram_similarity(spark):
 
 
 @pytest.mark.parametrize("radius", [0, 6, 15, 19, 20, 127])
-def test_reaches_cover_the_radius(radius):
-    assert sum(nd.reach_of(k, radius) + 1 for k in range(nd.BLOCKS)) == radius + 1
+@pytest.mark.parametrize("n", [0, 1, 70_000, 2_000_000, 10**8, 10**12])
+def test_reaches_cover_the_radius(radius, n):
+    blocks = nd.blocks_for(n, radius)
+    assert sum(b.reach + 1 for b in blocks) == radius + 1 and all(b.hi - b.lo <= 32 for b in blocks)
+    if radius >= 8:
+        assert blocks[0].lo == 0 and blocks[-1].hi == 128 and all(a.hi == b.lo for a, b in itertools.pairwise(blocks))
+
+
+@pytest.mark.parametrize("n", [100, 10**6, 10**7, 10**9])
+def test_block_values_are_the_bits(n):
+    f = np.random.default_rng(2).integers(-(2**63), 2**63 - 1, (50, 2))
+    for block in nd.blocks_for(n, 19):
+        want = [int(f"{(a & 2**64 - 1) << 64 | b & 2**64 - 1:0128b}"[block.lo : block.hi], 2) for a, b in f.tolist()]
+        assert block.of(f[:, 0], f[:, 1]).tolist() == want
+
+
+@pytest.mark.parametrize("width,reach", [(16, 2), (25, 3), (32, 4)])
+def test_tree_finds_all_values_within_reach(width, reach):
+    rng = np.random.default_rng(width)
+    values = np.unique(rng.integers(0, 2**width, 900).astype(np.uint32))
+    values = np.unique(np.concatenate([values, values ^ np.uint32(5), values[:200] ^ np.uint32(1 << 9)]))
+    asked = np.unique(np.concatenate([values[::3] ^ np.uint32(3), rng.integers(0, 2**width, 300).astype(np.uint32)]))
+    got = [(int(a), int(b)) for v, q in nd.Tree(values).within(asked, reach, at_once=100) for a, b in zip(v, q)]
+    v, q = np.nonzero(np.bitwise_count(values[:, None] ^ asked) <= reach)
+    assert len(got) == len(set(got)) and set(got) == set(zip(v.tolist(), q.tolist()))
+
+
+def test_equal_block_values_are_all_compared():
+    """Values that thousands of fingerprints share: all pairs, in pieces."""
+    a, b = nd._members(np.array([7, 7, 7, 9, 9])), nd._members(np.array([7, 9, 9, 9]))
+    for most in (1, 2, 4, 100):
+        got = [(x, y) for p, q in nd._products(a, b, np.array([0, 1, 0]), np.array([0, 1, 1]), most) for x, y in zip(p.tolist(), q.tolist())]
+        want = [(x, 0) for x in range(3)] + [(x, y) for x in (3, 4) for y in (1, 2, 3)] + [(x, y) for x in range(3) for y in (1, 2, 3)]
+        assert sorted(got) == sorted(want)
 
 
 def test_all_pairs_at_the_default_radius():
@@ -137,6 +171,8 @@ def test_all_pairs_at_the_default_radius():
     f = np.vstack([base, np.packbits(bits, axis=1).view(">i8").astype(np.int64)])
     import pandas as pd
 
-    pdf = pd.DataFrame({"f0": f[:, 0], "f1": f[:, 1], "rep": np.arange(4000), "home": True})
-    found = pd.concat([nd.search(k, pdf, nd.RADIUS) for k in range(nd.BLOCKS)])
-    assert {(a, a + 2000) for a in range(2000)} <= set(zip(found["a"], found["b"])) and not found.duplicated(["a", "b"]).any()
+    pdf = pd.DataFrame({"f0": f[:, 0], "f1": f[:, 1], "rep": np.arange(4000), "kind": 3})
+    for n in (4000, 10**6, 10**8, 10**10):
+        blocks = nd.blocks_for(n, nd.RADIUS)
+        found = pd.concat([nd.search(blocks, k, pdf, nd.RADIUS) for k in range(len(blocks))])
+        assert {(a, a + 2000) for a in range(2000)} <= set(zip(found["a"], found["b"])) and not found.duplicated(["a", "b"]).any()
