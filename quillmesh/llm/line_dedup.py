@@ -1,27 +1,33 @@
 """Reversible incremental line dedup: sharded cuckoo filters over exact reference counts.
 
 A line's key is a 128-bit hash of the line without surrounding blanks; keys are spread over
-shards.  For each shard there is a cuckoo filter (16-bit fingerprints, four to a bucket) and
-an exact table: key, number of occurrences, and the owner, the first occurrence in the order
-of doc_id and position.  A document's occurrences are kept, so it can be taken out again.
-
-Insertion asks the filters first: a key that a filter doesn't know is new and goes straight
-into the table, only the others are joined with it.  Deletion lowers counts; keys that reach
-zero leave table and filter, and a key whose owner went passes to the next occurrence.  So
-the state only depends on the documents in it, not on the order in which they came or on
-others that have gone again.
-
-Deduplication keeps a line where it is its key's owner.  Blank lines are always kept.
+shards, as many as ``SHARD_KEYS`` asks for.  For each shard there is a cuckoo filter (16-bit
+fingerprints, four to a bucket).  Beside them are exact tables: the occurrences of each
+document's lines, so that it can be taken out again, and for each key the number of its
+occurrences and its owner, the first occurrence in the order of doc_id and position.
+
+The tables are logs: each step appends rows of its generation and rewrites none.  Insertion
+asks the filters first: a key that a filter doesn't know is new and is appended unread;
+only the others are looked up, and appended with their new count.  Deletion appends the
+document ids and the new counts and owners of the keys touched; keys that reach zero leave
+the filter.  A key's latest row counts.  After ``COMPACT_EVERY`` steps the logs are merged.
+So the state only depends on the documents in it, not on the order in which they came or on
+others that have gone again, and a step writes in proportion to its batch (it scans the
+older tables where keys must be looked up).
+
+Deduplication removes a line where it isn't its key's owner.  Blank lines are always kept.
 
 Defined cases: null doc_id: left out.  Null text: no lines, null text.  Empty text: one
-blank line.  Repeated rows: one document, returned once for each row; other rows with the
-same doc_id are further versions of it, ordered by the hash of their text.  A document that
-is inserted twice counts once; deleting an unknown one does nothing.  Empty table: no rows.
+blank line.  Very long texts: all their lines.  Repeated rows: one document, returned once
+for each row; other rows with the same doc_id are further versions of it, ordered by the
+hash of their text.  Ties between owners: none, as (doc_id, position, version) is unique.
+A document that is inserted twice counts once; deleting an unknown one does nothing.  Extra
+columns: ignored.  Empty table: no rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -30,15 +36,18 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.common import cut, project, table
 
-SHARDS = 64
+SHARD_KEYS = 1 << 18
 SLOTS, KICKS, LOAD = 4, 400, 0.8
-BATCHES = 2
-_KEY = ["shard", "h0", "h1"]
+COMPACT_EVERY = 16
+CHURN = 8
+_KEY = ["h0", "h1"]
 _OWNER = "struct<doc_id: bigint, pos: int, ver: bigint>"
 _FILTER = "shard int, cells binary, stash binary, n long"
-_REFS = f"shard int, h0 long, h1 long, refs long, owner {_OWNER}"
+_REFS = f"h0 long, h1 long, refs long, owner {_OWNER}, again boolean, gen int"
 _ASKED = "shard int, h0 long, h1 long, refs long, doc_id long, pos int, ver long, maybe boolean"
-_OCCURRENCES = "doc_id long, ver long, pos int, shard int, h0 long, h1 long"
+_OCCURRENCES = "doc_id long, ver long, pos int, h0 long, h1 long, gen int"
+_MEMBERS = "doc_id long, ver long, gen int"
+_GONE = "doc_id long, gen int"
 
 
 class CuckooFilter:
@@ -179,13 +188,11 @@ def versions(docs: DataFrame) -> DataFrame:
     return rows.withColumn("ver", F.xxhash64("text"))
 
 
-def lines(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """(doc_id, ver, pos, shard, h0, h1) of every line; a blank line has no key."""
+def lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, ver, pos, h0, h1) of every line of every row; a blank line has no key."""
     each = versions(docs).where("text is not null").select("doc_id", "ver", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     bare = F.btrim("line", F.lit(" \t\r"))
-    h0 = F.when(bare != "", F.xxhash64(bare))
-    keyed = each.select("doc_id", "ver", "pos", F.pmod(h0, F.lit(shards)).cast("int").alias("shard"), h0.alias("h0"), F.when(bare != "", F.xxhash64(F.lit(1), bare)).alias("h1"))
-    return keyed.dropDuplicates(["doc_id", "ver", "pos"])  # of repeated rows; on keys, so no text is shuffled
+    return each.select("doc_id", "ver", "pos", F.when(bare != "", F.xxhash64(bare)).alias("h0"), F.when(bare != "", F.xxhash64(F.lit(1), bare)).alias("h1"))
 
 
 def _counted(occurrences: DataFrame) -> DataFrame:
@@ -193,82 +200,163 @@ def _counted(occurrences: DataFrame) -> DataFrame:
     return occurrences.where("h0 is not null").groupBy(*_KEY).agg(F.count("*").alias("refs"), owner)
 
 
-@dataclass
+def _latest(refs: DataFrame) -> DataFrame:
+    """(h0, h1, refs, owner): the row of the last generation for each key."""
+    last = F.max_by(F.struct("refs", "owner"), "gen").alias("last")
+    return refs.groupBy(*_KEY).agg(last).select(*_KEY, "last.refs", "last.owner")
+
+
+def _shards_for(keys: int) -> int:
+    return 1 << max(0, (max(keys, 1) - 1) // SHARD_KEYS).bit_length()
+
+
+@dataclass(frozen=True)
 class LineIndex:
-    """The state: filters, exact reference counts and occurrences; each step returns a new one."""
+    """The state; each step returns a new one.  ``gen`` counts the steps, ``deleted`` tells whether any was a deletion."""
 
     occurrences: DataFrame
+    members: DataFrame
+    gone: DataFrame
     refs: DataFrame
     filters: DataFrame
-    shards: int = SHARDS
+    shards: int = 1
+    gen: int = 0
+    layers: int = 0
+    deleted: bool = False
 
     @classmethod
-    def empty(cls, spark: SparkSession, shards: int = SHARDS) -> LineIndex:
-        return cls(spark.createDataFrame([], _OCCURRENCES), spark.createDataFrame([], _REFS), spark.createDataFrame([], _FILTER), shards)
+    def empty(cls, spark: SparkSession) -> LineIndex:
+        return cls(*(spark.createDataFrame([], schema) for schema in (_OCCURRENCES, _MEMBERS, _GONE, _REFS, _FILTER)))
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, shards: int = SHARDS) -> LineIndex:
-        return cls(*(spark.read.parquet(f"{path}/{part}") for part in ("occurrences", "refs", "filters")), shards)
+    def load(cls, spark: SparkSession, path: str) -> LineIndex:
+        rest = spark.read.parquet(f"{path}/steps").first()
+        return cls(*(spark.read.parquet(f"{path}/{part}") for part in cls.parts()), rest["shards"], rest["gen"], rest["layers"], rest["deleted"])
+
+    @staticmethod
+    def parts() -> tuple[str, ...]:
+        return "occurrences", "members", "gone", "refs", "filters"
 
     def save(self, path: str) -> None:
-        for part in ("occurrences", "refs", "filters"):
+        for part in self.parts():
             getattr(self, part).write.mode("overwrite").parquet(f"{path}/{part}")
+        steps = self.refs.sparkSession.createDataFrame([(self.shards, self.gen, self.layers, self.deleted)], "shards int, gen int, layers int, deleted boolean")
+        steps.write.mode("overwrite").parquet(f"{path}/steps")
+
+    def _alive(self, rows: DataFrame) -> DataFrame:
+        """Of rows with doc_id and gen: those that no later deletion took."""
+        if not self.deleted:
+            return rows
+        last = self.gone.groupBy("doc_id").agg(F.max("gen").alias("end"))
+        return rows.join(last, "doc_id", "left").where("end is null or gen > end").drop("end")
+
+    def _sharded(self, keys: DataFrame) -> DataFrame:
+        return keys.withColumn("shard", F.pmod("h0", F.lit(self.shards)).cast("int"))
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        here = self.occurrences.select("doc_id", "ver").distinct()
-        new = cut(lines(docs, self.shards).join(here, ["doc_id", "ver"], "left_anti"))
-        flat = _counted(new).select(*_KEY, "refs", "owner.doc_id", "owner.pos", "owner.ver")
-        asked = cut(flat.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_probe, _ASKED))
-        asked = asked.select(*_KEY, "refs", F.struct("doc_id", "pos", "ver").alias("owner"), "maybe")
-        fresh = asked.where("not maybe").drop("maybe")
-        check = asked.where("maybe").select(*_KEY, F.col("refs").alias("more"), F.col("owner").alias("claim"))
-        merged = self.refs.join(check, _KEY, "full_outer").select(
-            *_KEY,
-            (F.coalesce("refs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("refs"),
-            F.least("owner", "claim").alias("owner"),
-            F.col("refs").isNull().alias("unknown"),
+        gen = self.gen + 1
+        here = self._alive(self.members).select("doc_id", "ver").distinct()
+        new = lines(docs).join(here, ["doc_id", "ver"], "left_anti").dropDuplicates(["doc_id", "ver", "pos"])  # of repeated rows; keys only, no text
+        new = cut(new.withColumn("gen", F.lit(gen)))
+        counted = _counted(new)
+        if self.gen:
+            flat = self._sharded(counted.select(*_KEY, "refs", "owner.doc_id", "owner.pos", "owner.ver"))
+            asked = cut(flat.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_probe, _ASKED))
+            asked = asked.select(*_KEY, "refs", F.struct("doc_id", "pos", "ver").alias("owner"), "maybe")
+            fresh = asked.where("not maybe").select(*_KEY, "refs", "owner", F.lit(False).alias("again"), F.lit(True).alias("unknown"))
+            check = asked.where("maybe").select(*_KEY, F.col("refs").alias("more"), F.col("owner").alias("claim"))
+            known = _latest(self.refs.join(check.select(*_KEY), _KEY, "left_semi"))
+            looked = check.join(known, _KEY, "left").select(
+                *_KEY,
+                (F.coalesce("refs", F.lit(0)) + F.col("more")).alias("refs"),
+                F.least("owner", "claim").alias("owner"),
+                F.col("refs").isNotNull().alias("again"),
+                (F.coalesce("refs", F.lit(0)) == 0).alias("unknown"),
+            )
+            layer = cut(fresh.unionByName(looked))
+        else:
+            layer = cut(counted.select("*", F.lit(False).alias("again"), F.lit(True).alias("unknown")))
+        state = replace(
+            self,
+            occurrences=self.occurrences.unionByName(new),
+            members=cut(self.members.unionByName(new.select("doc_id", "ver", "gen").distinct())),
+            refs=self.refs.unionByName(layer.drop("unknown").withColumn("gen", F.lit(gen))),
+            gen=gen,
+            layers=self.layers + 1,
         )
-        merged = cut(merged.unionByName(fresh.withColumn("unknown", F.lit(True))))
-        refs = merged.drop("unknown")
-        added = merged.where("unknown").select(*_KEY)
-        filters = cut(added.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_extend, _FILTER))
+        return state._learn(layer.where("unknown").select(*_KEY))._compacted()
+
+    def _learn(self, added: DataFrame) -> LineIndex:
+        """Keys that were in no filter go into theirs; all filters are built anew where there are too many keys for the shards."""
+        held = self.filters.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + added.count()
+        shards = max(self.shards, _shards_for(held))
+        if shards > self.shards or self.layers == 1:
+            state = replace(self, shards=shards)
+            return replace(state, filters=cut(state._rebuilt(state._alive_keys())))
+        filters = cut(self._sharded(added).groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_extend, _FILTER))
         small = filters.where("cells is null").select("shard")
-        rebuilt = refs.select(*_KEY).join(F.broadcast(small), "shard", "left_semi").groupBy("shard").applyInPandas(_build, _FILTER)
-        return LineIndex(self.occurrences.unionByName(new), refs, cut(filters.where("cells is not null").unionByName(rebuilt)), self.shards)
+        if not small.isEmpty():
+            keys = self._sharded(self._alive_keys()).join(F.broadcast(small), "shard", "left_semi").select(*_KEY)
+            filters = cut(filters.where("cells is not null").unionByName(self._rebuilt(keys)))
+        return replace(self, filters=filters)
+
+    def _alive_keys(self) -> DataFrame:
+        return _latest(self.refs).where("refs > 0").select(*_KEY) if self.layers > 1 else self.refs.where("refs > 0").select(*_KEY)
+
+    def _rebuilt(self, keys: DataFrame) -> DataFrame:
+        return self._sharded(keys).groupBy("shard").applyInPandas(_build, _FILTER)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """doc_ids: a column doc_id."""
-        ids = project(doc_ids, doc_id=("doc_id", "long")).where("doc_id is not null").distinct()
-        gone = self.occurrences.join(ids, "doc_id", "left_semi")
-        left = cut(self.occurrences.join(ids, "doc_id", "left_anti"))
-        touched = cut(gone.where("h0 is not null").select(*_KEY).distinct())
-        again = cut(_counted(left.join(touched, _KEY, "left_semi")))
-        refs = self.refs.join(touched, _KEY, "left_anti").unionByName(again)
-        dead = touched.join(again, _KEY, "left_anti")
+        gen = self.gen + 1
+        ids = cut(project(doc_ids, doc_id=("doc_id", "long")).where("doc_id is not null").distinct())
+        alive = self._alive(self.occurrences).where("h0 is not null")
+        touched = cut(alive.join(ids, "doc_id", "left_semi").select(*_KEY).distinct())
+        left = _counted(alive.join(touched, _KEY, "left_semi").join(ids, "doc_id", "left_anti"))
+        layer = cut(touched.join(left, _KEY, "left").select(*_KEY, F.coalesce("refs", F.lit(0)).alias("refs"), "owner", F.lit(True).alias("again")))
+        dead = self._sharded(layer.where("refs = 0").select(*_KEY))
         filters = dead.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_shrink, _FILTER)
-        return LineIndex(left, cut(refs), cut(filters), self.shards)
+        return replace(
+            self,
+            gone=self.gone.unionByName(ids.withColumn("gen", F.lit(gen))),
+            refs=self.refs.unionByName(layer.withColumn("gen", F.lit(gen))),
+            filters=cut(filters),
+            gen=gen,
+            layers=self.layers + 1,
+            deleted=True,
+        )._compacted()
+
+    def _compacted(self) -> LineIndex:
+        return self.compact() if self.layers >= COMPACT_EVERY else self
+
+    def compact(self) -> LineIndex:
+        """The same state with one row for each occurrence, document and key."""
+        gone = self.refs.sparkSession.createDataFrame([], _GONE)
+        refs = _latest(self.refs).where("refs > 0").select(*_KEY, "refs", "owner", F.lit(False).alias("again"), F.lit(self.gen).alias("gen"))
+        return replace(self, occurrences=cut(self._alive(self.occurrences)), members=cut(self._alive(self.members)), gone=gone, refs=cut(refs), layers=1, deleted=False)
 
     def deduplicate(self, docs: DataFrame) -> DataFrame:
         """(doc_id, text, n_lines, n_removed) for each row of docs, which must have been inserted."""
-        shared = self.refs.where("refs > 1").select(*_KEY, "owner")
-        kept = F.col("owner").isNull() | (F.col("owner") == F.struct("doc_id", "pos", "ver"))
-        flagged = self.occurrences.join(shared, _KEY, "left").select("doc_id", "ver", "pos", kept.alias("kept"))
-        masks = flagged.groupBy("doc_id", "ver").agg(F.sort_array(F.collect_list(F.struct("pos", "kept"))).alias("mask"), F.count_if(~F.col("kept")).alias("n_removed"))
-        masks = masks.where("n_removed > 0").select("doc_id", "ver", F.col("mask.kept").alias("mask"), "n_removed")
+        shared = _latest(self.refs.where("refs > 1 or again")).where("refs > 1").select(*_KEY, "owner")
+        extra = self._alive(self.occurrences).join(shared, _KEY).where(F.col("owner") != F.struct("doc_id", "pos", "ver"))
+        masks = extra.groupBy("doc_id", "ver").agg(F.sort_array(F.collect_list("pos")).alias("removed"))
         rows = versions(docs).join(masks, ["doc_id", "ver"], "left")
         split = F.split("text", "\n")
-        text = F.when(F.col("mask").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda _, i: F.get("mask", i)), "\n"))
+        # the stretches between removed lines: after each of -1 and the removed ones, up to the next of these or the end
+        stops = F.concat(F.array(F.lit(-1)), F.col("removed"))
+        stretch = lambda a, i: F.slice(split, a + 2, F.coalesce(F.get("removed", i), F.size(split)) - a - 1)
+        text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(F.transform(stops, stretch)), "\n"))
         count = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))
-        return rows.select("doc_id", text.alias("text"), count.cast("long").alias("n_lines"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"))
+        n_removed = F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed"))
+        return rows.select("doc_id", text.alias("text"), count.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus inserted in batches by hash of doc_id, then deduplicated."""
+    """The corpus inserted in two batches by hash of doc_id, the second deleted and inserted again; then deduplicated."""
     docs = table(spark, sf_dir, "documents")
-    index = LineIndex.empty(spark)
-    for k in range(BATCHES):
-        index = index.insert(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES)) == k))
-    return index.deduplicate(docs)
+    last = F.pmod(F.xxhash64("doc_id"), F.lit(CHURN)) == 0
+    index = LineIndex.empty(spark).insert(docs.where(~last)).insert(docs.where(last))
+    return index.delete(docs.where(last).select("doc_id")).insert(docs.where(last)).deduplicate(docs)
 
 
 ORACLE = r"""
