@@ -17,12 +17,14 @@ Defined cases: null page_id: kept with a null id, as each row is judged by itsel
 html: null text, score 0.  Empty html, or a page without paragraphs: all visible text of
 the page outside links' containers (nav, header, footer, aside) with score 0.  Ties
 between containers: the first in the document.  Repeated rows: each.  Unclosed or stray
-tags: as described; an unclosed comment, script or tag runs to the end of the page.
-Empty table: no rows.
+tags: as described; an unclosed comment, script or tag runs to the end of the page.  Very
+long or deeply nested pages: read whole, in time in proportion to their length.  Extra
+columns: ignored.  Empty table: no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
 from collections.abc import Iterator
@@ -49,22 +51,56 @@ _SENTENCE = re.compile(r"[.!?…](\s|$)")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "score", "unlikely", "chars", "linked")
+    __slots__ = ("tag", "parent", "children", "score", "unlikely", "chars", "linked", "commas")
 
     def __init__(self, tag: str, parent: Node | None, unlikely: bool = False):
         self.tag, self.parent, self.unlikely = tag, parent, unlikely
         self.children: list[Node | str] = []
         self.score: float | None = None
-        self.chars = self.linked = 0
+        self.chars = self.linked = self.commas = 0
+
+
+class Open:
+    """The open elements, with their depths by tag, so that what a tag closes is found without walking up."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.depths: dict[str, list[int]] = {}
+        self.blocks = [0]
+
+    def push(self, node: Node) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tag: str) -> int:
+        """Depth of the innermost open element of this tag, 0 without one."""
+        depths = self.depths.get(tag)
+        return depths[-1] if depths else 0
+
+    def first_below(self, tag: str, depth: int) -> int:
+        """Depth of the outermost open element of this tag that is deeper than ``depth``, 0 without one."""
+        depths = self.depths.get(tag, ())
+        k = bisect.bisect_right(depths, depth)
+        return depths[k] if k < len(depths) else 0
+
+    def close(self, depth: int) -> None:
+        """The element at this depth and all within it."""
+        while len(self.stack) > depth:
+            self.depths[self.stack.pop().tag].pop()
+        while self.blocks[-1] >= depth:
+            self.blocks.pop()
 
 
 def parse(page: str) -> Node:
     root = Node("html", None)
-    at, here, end = 0, root, len(page)
+    at, end = 0, len(page)
+    opened = Open(root)
 
     def text(raw: str) -> None:
         if raw:
-            here.children.append(entities.unescape(raw) if "&" in raw else raw)
+            opened.stack[-1].children.append(entities.unescape(raw) if "&" in raw else raw)
 
     while at < end:
         found = TOKEN.search(page, at)
@@ -76,33 +112,25 @@ def parse(page: str) -> Node:
         name = found.group(2)
         if not name:
             if page.startswith("<![CDATA[", found.start()):
-                here.children.append(page[found.start() + 9 : at - 3 if page.endswith("]]>", 0, at) else at])
+                opened.stack[-1].children.append(page[found.start() + 9 : at - 3 if page.endswith("]]>", 0, at) else at])
             continue
         tag = name.lower()
         if found.group(1):
-            node = here
-            while node is not None and node.tag != tag:
-                node = node.parent
-            if node is not None and node.parent is not None:
-                here = node.parent
+            if depth := opened.last(tag):
+                opened.close(depth)
             continue
         if tag in ("html", "body", "head"):
             continue
-        if tag in BLOCK:
-            node = here
-            while node.parent is not None and node.tag not in BLOCK:
-                node = node.parent
-            if node.tag == "p" and node.parent is not None:
-                here = node.parent
+        if tag in BLOCK and opened.stack[opened.blocks[-1]].tag == "p":
+            opened.close(opened.blocks[-1])
         if tag in CLOSES:
             closing, scope = CLOSES[tag]
-            node = here
-            while node.parent is not None and node.tag not in scope:
-                if node.tag in closing:
-                    here = node.parent
-                node = node.parent
-        child = Node(tag, here, bool(UNLIKELY.search(found.group(3))) if "=" in found.group(3) else False)
-        here.children.append(child)
+            limit = max(opened.last(t) for t in scope)
+            ends = [d for d in (opened.first_below(t, limit) for t in closing) if d]
+            if ends:
+                opened.close(min(ends))
+        child = Node(tag, opened.stack[-1], bool(UNLIKELY.search(found.group(3))) if "=" in found.group(3) else False)
+        opened.stack[-1].children.append(child)
         closed = tag in VOID or found.group(3).endswith("/")
         if tag in RAW and not closed:
             stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -110,7 +138,7 @@ def parse(page: str) -> Node:
                 child.children.append(entities.unescape(page[at : stop.start() if stop else end]))
             at = stop.end() if stop else end
         elif not closed:
-            here = child
+            opened.push(child)
     return root
 
 
@@ -125,14 +153,16 @@ def _walk(root: Node) -> list[Node]:
 
 
 def _measure(nodes: list[Node]) -> None:
-    """Visible characters, white space collapsed, and those in links."""
+    """Visible characters, white space collapsed, and those in links; commas.  From the leaves up, each node once."""
     for node in reversed(nodes):
         for c in node.children:
             if isinstance(c, str):
-                node.chars += len(_SPACE.sub(" ", c).strip())
+                node.chars += len(" ".join(c.split()))
+                node.commas += c.count(",")
             elif c.tag not in SKIPPED and c.tag != "title":
                 node.chars += c.chars
                 node.linked += c.linked
+                node.commas += c.commas
         if node.tag == "a":
             node.linked = node.chars
 
@@ -175,8 +205,7 @@ def extract(page: str) -> tuple[str, float]:
     for node in nodes:
         if node.tag not in PARAGRAPH or node.chars < MIN_CHARS or node.parent is None:
             continue
-        text = _inner(node)
-        points = 1 + text.count(",") + min(3, len(text) // 100)
+        points = 1 + node.commas + min(3, node.chars // 100)
         above, share = node.parent, 1
         while above is not None and share <= 3:
             if above.score is None:

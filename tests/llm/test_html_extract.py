@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import time
 from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
@@ -79,6 +80,73 @@ def test_odd_markup():
     assert he.extract("x<br>y &lt;z&gt;<![CDATA[q]]>")[0] == "x\ny <z>q"
 
 
+def test_hostile_pages_take_linear_time():
+    pages = ["<blockquote>some words, and more of them here ", "<table><tr><td>some words, and more, here ", "<div><dt>x", "<ul><li><div>some text, "]
+    for part in pages:
+        took = []
+        for n in (20_000, 200_000):
+            began = time.process_time()
+            he.extract((part * n)[:n])
+            took.append(time.process_time() - began)
+        assert took[1] < 30 * max(took[0], 0.02)
+    began = time.process_time()
+    he.extract("<div>" * 60_000 + "</span></b>" * 60_000)
+    assert time.process_time() - began < 10
+
+
+def plain_extract(page):
+    """The same rules by recursion, everything counted anew for each element."""
+    def visible(n):
+        return [c for c in n.children if isinstance(c, str) or c.tag not in he.SKIPPED and c.tag != "title"]
+
+    def chars(n):
+        return sum(len(" ".join(c.split())) if isinstance(c, str) else chars(c) for c in visible(n))
+
+    def linked(n):
+        return chars(n) if n.tag == "a" else sum(linked(c) for c in visible(n) if not isinstance(c, str))
+
+    def commas(n):
+        return sum(c.count(",") if isinstance(c, str) else commas(c) for c in visible(n))
+
+    def elements(n):
+        return [n] + [e for c in visible(n) if not isinstance(c, str) for e in elements(c)]
+
+    root = he.parse(page)
+    every = elements(root)
+    score = {}
+    for n in every:
+        if n.tag in he.PARAGRAPH and n.parent is not None and chars(n) >= he.MIN_CHARS:
+            above = n.parent
+            for share in (1, 2, 3):
+                if above is not None:
+                    base = (-25 if above.unlikely else 0) + (5 if above.tag in ("article", "main") else 0)
+                    score[above] = score.get(above, base) + (1 + commas(n) + min(3, chars(n) // 100)) / share
+                    above = above.parent
+    boilerplate = {id(n) for n in every if n.tag in he.BOILERPLATE or n.unlikely}
+    if not score:
+        return he.render([root], boilerplate), 0.0
+    final = {n: s * (1 - (linked(n) / chars(n) if chars(n) else 0)) for n, s in score.items()}
+    best = max((n for n in every if n in final), key=lambda n: final[n])
+    if best.parent is None:
+        return he.render([best], boilerplate), round(final[best], 6)
+
+    def stays(n):
+        if isinstance(n, str) or n.tag in he.SKIPPED:
+            return False
+        if n is best or final.get(n, -1) >= max(10, final[best] / 5):
+            return True
+        few = chars(n) and linked(n) / chars(n) < 0.25
+        return n.tag == "p" and not n.unlikely and bool(chars(n) > 80 and few or 0 < chars(n) <= 80 and not linked(n) and re.search(r"[.!?…](\s|$)", he.render([n])))
+
+    return he.render([n for n in best.parent.children if stays(n)]), round(final[best], 6)
+
+
+def test_query_equals_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    got = sorted((r.page_id, r.text, r.score) for r in he.op4_html_extract(spark, "/root/testdata/sf0.001").collect())
+    assert got == sorted((r.page_id, *plain_extract(r.html)) for r in pages) and len(got) == 50
+
+
 def test_defined_cases(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, PAGE), (3, None, PAGE), (None, "u", "<p>t"), (4, "u", "<p>" + "word, " * 60_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("x")).withColumn("score", F.lit("y"))
