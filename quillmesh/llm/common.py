@@ -6,6 +6,7 @@ columns of the input, clashing names included, neither break it nor reach its re
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,18 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def project(df: DataFrame, **columns: tuple[str, str]) -> DataFrame:
-    """``project(df, own_name=("column", "type"))``; a column that is missing becomes null."""
-    have = set(df.columns)
-    return df.select(
-        *[(df[c] if c in have else F.lit(None)).cast(t).alias(own) for own, (c, t) in columns.items()]
-    )
+    """``project(df, own_name=("column", "type"))``; a missing column is an error."""
+    missing = sorted({c for c, _ in columns.values()} - set(df.columns))
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} among {', '.join(df.columns)}")
+    return df.select(*[df[c].cast(t).alias(own) for own, (c, t) in columns.items()])
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's shared folder where spark.checkpoint.dir names one; a folder of our own only where unset."""
+    """The cluster's shared folder where spark.checkpoint.dir names one; a folder of our own only where unset, on one machine."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillmesh-ckpt-"))
 
 
@@ -40,6 +43,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def n_tokens(text: Column) -> Column:
     """Whitespace-separated tokens; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
@@ -48,7 +59,8 @@ def n_tokens(text: Column) -> Column:
 def bounded_sample(df: DataFrame, rows: int, n: int, *keys: str) -> DataFrame:
     """The n rows (of about ``rows``) with the least hash of the keys among a hash class of about 2 n.
 
-    The class is taken first, so what the tasks send to order and cut doesn't grow with the table.
+    The class is taken first, so what the tasks send to order and cut doesn't grow with the table.  Rows with equal keys
+    are in one class, so where keys repeat the sample may fall short of n.
     """
     classes = rows // (2 * n)
     if classes > 1:

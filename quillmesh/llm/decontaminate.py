@@ -22,7 +22,10 @@ one, all sentences but the last, and the last; an item of a single sentence is b
 
 Defined cases: null or empty texts have no passages; null or wordless items are ignored;
 null doc_id: no row (the pipeline's filter judges such rows too); repeated doc_ids: one row
-for each item; items with equal texts are all retrieved.  Empty tables: no rows.
+for each item; items with equal texts are all retrieved.  Very long texts: more windows.
+Ties between passages: the earliest.  Extra columns: ignored, or kept by the pipeline's
+filter.  Empty tables: no rows.  The test items are read on the driver; more text than
+``MOST_BYTES`` is an error, as the index of all of it is shipped to every executor.
 """
 
 from __future__ import annotations
@@ -49,6 +52,7 @@ OVERLAP = 0.5
 K1, B = 1.2, 0.75
 BLOCK = 16
 ITEMS_PER_PART = 20_000
+MOST_BYTES = 256 << 20
 EPS = 1e-9
 _WORD = re.compile(r"\w+")
 _FIELDS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, position int"
@@ -236,6 +240,9 @@ def _grams_of(tokens: list[str], like: set[tuple[str, ...]]) -> set[tuple[str, .
 
 def load_items(benchmark: DataFrame) -> list[tuple[int, str]]:
     rows = project(benchmark, item_id=("item_id", "long"), text=("text", "string")).where("item_id is not null and text is not null")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"{size} bytes of test items; split them, {MOST_BYTES} at once")
     return [(r["item_id"], r["text"]) for r in rows.distinct().collect()]
 
 

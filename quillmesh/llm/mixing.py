@@ -13,18 +13,19 @@ within a part, so no task holds a whole source, however hot.
 Defined cases: null doc_id: left out, as nothing could refer to it.  Null source: the
 source "".  Null or empty text: no tokens; such a document takes the finish time of the
 one before it.  Repeated doc_ids: one document with the most tokens and the least source
-of its rows.  A source without a weight: ``default_weight``; weights must be positive.
-Empty table: no rows.
+of its rows.  Very long texts: by their tokens like any other.  Ties: as said, by source,
+hash and doc_id.  A source without a weight: ``default_weight``; weights must be positive.
+Extra columns: ignored, or kept by ``keep_served``.  Empty table: no rows.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import cut, n_tokens, project, table
+from quillmesh.llm.common import cut, n_tokens, project, table, unused
 
 WEIGHTS = {"src0": 0.10, "src1": 0.08, "src2": 0.08, "src3": 0.06, "src4": 0.06}
 DEFAULT_WEIGHT = 0.04
@@ -32,6 +33,10 @@ BUDGET = 0.7
 SEED = "mix-1"
 
 
+def place_in_queue(doc_id: Column, seed: str = SEED) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), doc_id.cast("string")))
+
+
 def mix(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
@@ -50,7 +55,7 @@ def mix(
         .select("doc_id", F.coalesce("source", F.lit("")).alias("source"), n_tokens(F.col("text")).alias("tokens"))
         .groupBy("doc_id")
         .agg(F.min("source").alias("source"), F.max("tokens").alias("tokens"))
-        .withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"))))
+        .withColumn("key", place_in_queue(F.col("doc_id"), seed))
         .withColumn("part", F.substring("key", 1, 2))
     )
     rows = cut(rows)
@@ -75,6 +80,27 @@ def mix(
     return served.where(F.col("served") <= budget).select("doc_id", "source", "tokens", "finish", "served")
 
 
+def keep_served(docs: DataFrame, seed: str = SEED, most_sources: int = 50_000, **settings) -> DataFrame:
+    """The rows of docs that ``mix`` serves, with all their columns.
+
+    What is served of a source is the front of its queue, so the last one served tells for each row whether it is, and
+    text isn't shuffled: the last ones, one row a source, are broadcast if there are at most ``most_sources``.  Beyond
+    that, or where rows of one doc_id name several sources, rows are looked up by doc_id.
+    """
+    served = cut(mix(docs, seed=seed, **settings).select("doc_id", "source"))
+    rows = project(docs, doc_id=("doc_id", "long"), source=("source", "string")).where("doc_id is not null")
+    source = F.coalesce("source", F.lit(""))
+    torn = rows.groupBy("doc_id").agg(F.min(source).alias("a"), F.max(source).alias("b")).where("a <> b")
+    last_name, source_name, id_name = (unused(docs, n) for n in ("last", "queue", "served"))
+    last = served.groupBy(F.col("source").alias(source_name)).agg(F.max(F.struct(place_in_queue(F.col("doc_id"), seed).alias("key"), F.col("doc_id"))).alias(last_name))
+    doc_id = docs["doc_id"].cast("long")
+    if not torn.isEmpty() or last.limit(most_sources + 1).count() > most_sources:
+        return docs.join(served.select(F.col("doc_id").alias(id_name)), doc_id == F.col(id_name), "left_semi")
+    here = F.struct(place_in_queue(doc_id, seed).alias("key"), doc_id.alias("doc_id"))
+    found = docs.join(F.broadcast(last), (F.coalesce(docs["source"].cast("string"), F.lit("")) == F.col(source_name)) & (here <= F.col(last_name)), "left_semi")
+    return found
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import line_dedup, mixing
+from quillmesh.llm import line_dedup, mixing, quality
 from quillmesh.llm.decontaminate import op10_decontaminate
 from quillmesh.llm.html_extract import op4_html_extract
 from quillmesh.llm.line_dedup import op3_line_dedup
@@ -29,5 +29,6 @@ QUERIES = {
 
 ORACLES = {
     "op3_line_dedup": line_dedup.ORACLE,
+    "op5_quality_rules": quality.ORACLE,
     "op7_mix_sources": mixing.ORACLE,
 }

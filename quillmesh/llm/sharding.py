@@ -8,14 +8,16 @@ The rule only looks at sizes, and shards with equal remaining capacity are alike
 packing is computed over the histogram of sizes, which is what the driver gets: a balanced
 64-ary tree holds the remaining capacities, each with the shards that have it, and all
 groups of a size that fall into shards of one kind are placed in one step.  The result is
-the one that placing group by group gives.  The steps ("runs": size, ranks, first shard,
+the one that placing group by group gives.  Groups of one size are ranked in parts of about
+``PART_ROWS``, so no task holds all of them.  The steps ("runs": size, ranks, first shard,
 groups a shard) are joined back to the groups by their rank among those of equal size.
 
 Defined cases: null doc_id: left out.  Null text: a group of its own with size 0, as is
 each document of it; empty text: a group with size 0.  Groups of size 0 go into the
 fullest shard.  A group beyond the capacity gets a shard of its own.  Ties: smaller
-group_id (the least doc_id of the group) first.  Repeated rows count once.  Empty table:
-no rows.
+group_id (the least doc_id of the group) first.  Repeated rows count once; of several
+texts with one doc_id the longest counts (then the one with the greater hash).  Very long
+texts: by their bytes like any other.  Extra columns: ignored.  Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import cut, project, table
 
 CAPACITY = 4 << 20
-PARTS = 64
+PART_ROWS = 1_000_000
 _RUNS = "size long, lo long, hi long, base long, per long"
 
 
@@ -103,7 +105,7 @@ def pack(histogram: list[tuple[int, int]], capacity: int) -> tuple[list[tuple[in
             full = min(n, (count - at) // per)
             if full:
                 runs.append((size, at, at + full * per, first, per))
-                give(remaining - full_load(per, size), first, full)
+                give(remaining - per * size, first, full)
                 at += full * per
             if full < n and at < count:
                 left = count - at
@@ -114,10 +116,6 @@ def pack(histogram: list[tuple[int, int]], capacity: int) -> tuple[list[tuple[in
     return runs, opened
 
 
-def full_load(per: int, size: int) -> int:
-    return per * size
-
-
 def assign(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, group_id, n_bytes, shard) for every document."""
     spark = docs.sparkSession
@@ -125,24 +123,26 @@ def assign(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows = rows.select(
         "doc_id",
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.col("text").isNull().alias("missing"),
         F.when(F.col("text").isNull(), F.col("doc_id")).otherwise(F.xxhash64("text")).alias("h0"),
-        F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.xxhash64(F.lit(1), "text")).alias("h1"),
-    ).dropDuplicates(["doc_id"])
-    copies = Window.partitionBy("h0", "h1")
-    rows = cut(rows.select("doc_id", "n_bytes", F.min("doc_id").over(copies).alias("group_id")))
-    groups = rows.groupBy("group_id").agg(F.sum("n_bytes").alias("size")).withColumn("part", F.pmod(F.xxhash64("group_id"), F.lit(PARTS)))
-    groups = cut(groups)
+        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.xxhash64(F.lit(1), "text")).alias("h1"),
+    )
+    text = ["missing", "h0", "h1"]
+    rows = cut(rows.groupBy("doc_id").agg(F.max(F.struct("n_bytes", *text)).alias("one")).select("doc_id", "one.*"))
+    groups = cut(rows.groupBy(*text).agg(F.min("doc_id").alias("group_id"), F.sum("n_bytes").alias("size")))
+    histogram = [(r["size"], r["n"]) for r in groups.groupBy("size").agg(F.count("*").alias("n")).collect()]
+    parts = max(1, -(-max([n for _, n in histogram], default=0) // PART_ROWS))
+    groups = groups.withColumn("part", F.pmod(F.xxhash64("group_id"), F.lit(parts)))
     counts = groups.groupBy("size", "part").agg(F.count("*").alias("n"))
-    histogram = [(r["size"], r["n"]) for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()]
     runs, _ = pack(histogram, capacity)
     plan = spark.createDataFrame(pd.DataFrame(runs, columns=["size", "lo", "hi", "base", "per"]), _RUNS) if runs else spark.createDataFrame([], _RUNS)
     ahead = Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("size", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
     line = Window.partitionBy("size", "part").orderBy("group_id")
-    ranked = groups.join(counts, ["size", "part"]).select("group_id", "size", (F.col("ahead") + F.row_number().over(line) - 1).alias("rank"))
+    ranked = groups.join(counts, ["size", "part"]).select("group_id", *text, "size", (F.col("ahead") + F.row_number().over(line) - 1).alias("rank"))
     placed = ranked.join(plan, (ranked["size"] == plan["size"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    placed = placed.select("group_id", (F.col("base") + F.floor((F.col("rank") - F.col("lo")) / F.col("per"))).cast("long").alias("shard"))
-    return rows.join(placed, "group_id").select("doc_id", "group_id", "n_bytes", "shard")
+    placed = placed.select("group_id", *text, (F.col("base") + F.floor((F.col("rank") - F.col("lo")) / F.col("per"))).cast("long").alias("shard"))
+    return rows.join(placed, text).select("doc_id", "group_id", "n_bytes", "shard")
 
 
 def op6_shard_bins(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,7 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[Li
     marks = marks.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     chosen = bounded_sample(marks, labels.count(), max_rows, "doc_id")
     texts = project(docs, doc_id=("doc_id", "long"), text=("text", "string")).where("text is not null")
-    sample = {r["doc_id"]: (r["text"], r["toxic"]) for r in texts.join(F.broadcast(chosen), "doc_id").toLocalIterator()}
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    sample = {r["doc_id"]: (r["text"], r["toxic"]) for r in found.toLocalIterator()}
     order = sorted(sample, key=lambda i: (xxhash.xxh3_64_intdigest(str(i)), i))
     rows = features([sample[i][0] for i in order])
     toxic = np.array([sample[i][1] for i in order], np.int64)
