@@ -17,9 +17,9 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import ensure_checkpoint_dir, table
+from quillmesh.llm.common import ensure_checkpoint_dir, table, unused
 from quillmesh.llm.decontaminate import without_test_items
-from quillmesh.llm.mixing import mix
+from quillmesh.llm.mixing import keep_served
 from quillmesh.llm.near_dedup import near_duplicates
 from quillmesh.llm.quality import keep_good
 from quillmesh.llm.sharding import assign
@@ -31,12 +31,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near duplicates stays, one row for each doc_id."""
-    gone = near_duplicates(docs).where(~F.col("keep")).select(F.col("doc_id").alias("_gone"))
-    left = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """The smallest doc_id of each group of near duplicates stays, one row for each doc_id; text is shuffled once, by doc_id."""
+    gone_name, nth_name = unused(docs, "gone"), unused(docs, "nth")
+    gone = near_duplicates(docs).where(~F.col("keep")).select(F.col("doc_id").alias(gone_name))
+    named = docs.where(docs["doc_id"].isNotNull())
+    left = named.join(gone, named["doc_id"] == F.col(gone_name), "left_anti")
     nth = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    first = left.withColumn("_nth", F.row_number().over(nth)).where("_nth = 1 or doc_id is null")
-    return first.select(*docs.columns)
+    first = left.withColumn(nth_name, F.row_number().over(nth)).where(F.col(nth_name) == 1).drop(nth_name)
+    return first.unionByName(docs.where(docs["doc_id"].isNull()))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,15 +48,15 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that weighted fair queueing serves within the budget stay."""
-    served = mix(docs).select(F.col("doc_id").alias("_served"))
-    return docs.join(served, docs["doc_id"] == F.col("_served"), "left_semi")
+    return keep_served(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with the number of its shard."""
-    placed = assign(docs).select(F.col("doc_id").alias("_placed"), F.col("shard").alias("_shard"))
-    joined = docs.join(placed, docs["doc_id"] == F.col("_placed"))
-    return joined.select(*[docs[c] for c in docs.columns if c != "shard"], F.col("_shard").alias("shard"))
+    """Every document with the number of its shard, in the column ``shard``, which replaces one of that name."""
+    id_name, shard_name = unused(docs, "placed"), unused(docs, "shard")
+    placed = assign(docs).select(F.col("doc_id").alias(id_name), F.col("shard").alias(shard_name))
+    joined = docs.join(placed, docs["doc_id"] == F.col(id_name)).drop(id_name)
+    return joined if shard_name == "shard" else joined.drop("shard").withColumnRenamed(shard_name, "shard")
 
 
 STAGES = [
