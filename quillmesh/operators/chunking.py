@@ -1,4 +1,4 @@
-"""Notes to sections, sentences and overlapping chunks; only numbering the chunks of a note shuffles."""
+"""Notes to sections, sentences and overlapping chunks; nothing shuffles, as a note is one row until its chunks are numbered."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as tx
@@ -95,8 +95,17 @@ def pack(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     return _map(lambda flat: pack_sentences(split_sentences(flat), size, overlap), clean_markdown(text))
 
 
+def _pack_each(texts: Column, size: int, overlap: int) -> Column:
+    """The chunks of each text of an array."""
+
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda found: [pack_sentences(split_sentences(t), size, overlap) for t in found])
+
+    return F.pandas_udf(run, "array<array<string>>", F.PandasUDFType.SCALAR)(texts)
+
+
 def chunk_notes(notes: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Chunks of notes, numbered through each note from 1."""
+    """Chunks of notes, numbered through each note from 1; notes without an id or with the same one are numbered each for itself."""
     empty = F.array().cast("array<string>")
     named = notes.select(
         F.coalesce("id", F.lit("")).alias("note_id"),
@@ -106,9 +115,9 @@ def chunk_notes(notes: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> D
         "content",
     )
     cut = named.withColumn("parts", sections(F.col("content"), F.col("title"))).drop("content")
-    each = cut.select("*", F.posexplode("parts").alias("at", "part")).drop("parts")
-    packed = each.select("note_id", "title", "tags", "links", "at", F.col("part.section").alias("section"), F.posexplode(pack(F.col("part.text"), size, overlap)).alias("nth", "text"))
-    order = Window.partitionBy("note_id").orderBy("at", "nth")
-    numbered = packed.withColumn("position", F.row_number().over(order))
-    chunk_id = F.concat("note_id", F.lit("#"), F.col("position").cast("string"))
-    return numbered.select(chunk_id.alias("chunk_id"), "note_id", "title", "section", "text", "tags", "links", "position")
+    packed = _pack_each(F.transform("parts", lambda p: clean_markdown(p["text"])), size, overlap)
+    of_note = F.flatten(F.zip_with("parts", packed, lambda p, found: F.transform(found, lambda t: F.struct(p["section"].alias("section"), t.alias("text")))))
+    each = cut.select("note_id", "title", "tags", "links", F.posexplode(of_note).alias("at", "chunk"))
+    position = (F.col("at") + 1).alias("position")
+    chunk_id = F.concat("note_id", F.lit("#"), (F.col("at") + 1).cast("string"))
+    return each.select(chunk_id.alias("chunk_id"), "note_id", "title", "chunk.section", "chunk.text", "tags", "links", position)

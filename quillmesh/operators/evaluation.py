@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -55,6 +56,11 @@ def k_list(ks: list[int] | tuple[int, ...]) -> list[int]:
     return sorted({int(k) for k in ks if int(k) > 0})
 
 
+def rag_k_list(k: int) -> list[int]:
+    """Of 1, 3, 5 and 10 those that k hits can show."""
+    return [x for x in KS if x <= k]
+
+
 def retrieval_metrics(firsts: DataFrame, ks: list[int] | tuple[int, ...] = KS) -> DataFrame:
     """(k, recall_chunk, mrr_chunk, recall_note, mrr_note): over all queries, those without relevant ids included."""
     rows = firsts.select("chunk_rank", "note_rank", F.explode(F.array(*[F.lit(k) for k in k_list(ks)])).alias("k"))
@@ -114,6 +120,9 @@ def parse_judgement(text: Column) -> Column:
     return F.when(some.isNotNull(), parsed)
 
 
+_JUDGE = f"struct<{', '.join(f.replace(' ', ':', 1) for f in JUDGEMENT.split(', '))}>"
+
+
 def judge_request(asked: str, context: str, said: str) -> tuple[str, str]:
     wanted = {"correctness": "1-5", "groundedness": "1-5", "uses_context": "true/false", "hallucination": "true/false", "short_reason": "at most 20 words"}
     system = "You grade answers of a retrieval system strictly, by the context given and nothing else; an answer that the context lacks costs both grades."
@@ -131,8 +140,21 @@ def judge(rows: DataFrame, chat: Callable[[str, str], str]) -> DataFrame:
     return rows.mapInPandas(ask, f"{types}, raw string").withColumn("judge", parse_judgement(F.col("raw"))).drop("raw")
 
 
-def rag_report(relevant: DataFrame, hits: DataFrame, answers: DataFrame, chat: Callable[[str, str], str] | None = None) -> DataFrame:
-    """One row for each query: ids, answer, coverage, citations and the judge's verdict."""
+def judge_first(rows: DataFrame, chat: Callable[[str, str], str], n: int) -> DataFrame:
+    """Adds ``judge`` in the order of qid until n verdicts could be parsed; the rest isn't sent to the model and gets null."""
+    at = rows.select("qid", F.row_number().over(Window.orderBy("qid")).alias("_at"))
+    placed = rows.join(at, "qid").persist()
+    upto, wanted, total, parts = 0, n, placed.count(), []
+    while wanted > 0 and upto < total:
+        some = judge(placed.where(F.col("_at").between(upto + 1, upto + wanted)), chat).persist()
+        parts.append(some)
+        upto, wanted = upto + wanted, wanted - some.where("judge is not null").count()
+    parts.append(placed.where(F.col("_at") > upto).withColumn("judge", F.lit(None).cast(_JUDGE)))
+    return reduce(DataFrame.unionByName, parts).drop("_at")
+
+
+def rag_report(relevant: DataFrame, hits: DataFrame, answers: DataFrame, chat: Callable[[str, str], str] | None = None, judge_n: int = 0) -> DataFrame:
+    """One row for each query: ids, answer, coverage, citations and the judge's verdict (on the first judge_n only; 0: on all)."""
     listed = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "note_id", "text"))).alias("h"))
     joined = listed.select("qid", F.col("h.chunk_id").alias("retrieved_chunk_ids"), F.col("h.note_id").alias("retrieved_note_ids"), F.array_join("h.text", "\n").alias("context"))
     none = F.array().cast(_EMPTY)
@@ -143,7 +165,10 @@ def rag_report(relevant: DataFrame, hits: DataFrame, answers: DataFrame, chat: C
         "retrieved_note_ids": F.coalesce("retrieved_note_ids", none),
         "answer_body": strip_sources(F.col("answer")),
     })
-    rows = judge(rows, chat) if chat else rows.withColumn("judge", F.lit(None).cast(f"struct<{', '.join(f.replace(' ', ':', 1) for f in JUDGEMENT.split(', '))}>"))
+    if chat is None:
+        rows = rows.withColumn("judge", F.lit(None).cast(_JUDGE))
+    else:
+        rows = judge_first(rows, chat, judge_n) if judge_n > 0 else judge(rows, chat)
     cited = citations(F.col("answer_body"))
     ids = F.array_distinct(F.concat("retrieved_chunk_ids", "retrieved_note_ids"))
     return rows.select(
@@ -175,11 +200,3 @@ def rag_summary(report: DataFrame) -> DataFrame:
         F.round(F.avg(F.when(F.col("judge").isNotNull(), F.coalesce("judge.groundedness", F.lit(0.0)))), 6).alias("groundedness"),
         F.round(F.avg(F.when(F.col("judge").isNotNull(), F.when(F.col("judge.hallucination"), 1.0).otherwise(0.0))), 6).alias("hallucination_rate"),
     )
-
-
-def first_n_judged(rows: DataFrame, n: int) -> DataFrame:
-    """Rows up to the n-th parsed verdict, in the order of qid (0: all)."""
-    if n <= 0:
-        return rows
-    upto = Window.orderBy("qid").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("_seen", F.coalesce(F.count("judge").over(upto), F.lit(0))).where(F.col("_seen") < n).drop("_seen")

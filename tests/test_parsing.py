@@ -124,6 +124,14 @@ def test_chunks_are_numbered_through_the_note(spark):
     assert got == [("a/b.md#1", "b.md", "Introduction", "lead. in", 1, []), ("a/b.md#2", "b.md", "A", "one. two.", 2, []), ("a/b.md#3", "b.md", "B", "three.", 3, []), ("d.md#1", "T", "T", "z", 1, ["x"])]
 
 
+def test_notes_without_an_id_or_with_the_same_one_are_numbered_each_for_itself(spark):
+    rows = [(None, "A", None, None, "one.\n# H\ntwo."), (None, "B", None, None, "three."), ("n.md", "C", None, None, "four."), ("n.md", "D", None, None, "five.\n# H\nsix.")]
+    made = chunking.chunk_notes(spark.createDataFrame(rows, "id string, title string, tags array<string>, links array<string>, content string"))
+    got = sorted((r.title, r.chunk_id, r.position, r.text) for r in made.collect())
+    assert got == [("A", "#1", 1, "one."), ("A", "#2", 2, "two."), ("B", "#1", 1, "three."), ("C", "n.md#1", 1, "four."), ("D", "n.md#1", 1, "five."), ("D", "n.md#2", 2, "six.")]
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sentences_equal_the_regular_expression():
     rng = random.Random(4)
     for _ in range(3000):

@@ -135,7 +135,7 @@ def test_report(spark, hits, asked):
     assert len(report.columns) == 11
     s = ev.rag_summary(report).first()
     assert (s.n, s.hit_rate, s.citation_rate, s.valid_citation_rate, s.judged, s.correctness, s.hallucination_rate) == (3, 0.666667, 0.666667, 0.333333, 1, 5.0, 1.0)
-    assert ev.first_n_judged(report.withColumn("qid", F.monotonically_increasing_id()), 1).count() >= 1
+    assert ev.rag_k_list(4) == [1, 3] and ev.rag_k_list(10) == [1, 3, 5, 10] and ev.rag_k_list(0) == []
 
 
 def test_vault(spark, tmp_path):
@@ -235,3 +235,22 @@ def test_streams(spark, tmp_path):
     s = rates.writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
     s.awaitTermination()
     assert spark.sql("SELECT sum(n) AS n FROM rates").first().n == src.count()
+
+
+def test_judge_stops_after_n_verdicts(spark, tmp_path):
+    import json
+
+    from quillmesh.operators import evaluation as ev
+
+    rows = spark.createDataFrame([(i, f"q{i}", "c", "a") for i in range(9)], "qid long, text string, context string, answer_body string")
+    log = str(tmp_path / "asked")
+
+    def chat(system, prompt):
+        asked = prompt.split("\n")[1]
+        with open(log, "a") as f:
+            f.write(asked + "\n")
+        return "no verdict" if asked in ("q0", "q2") else json.dumps({"correctness": 4, "groundedness": 5, "uses_context": True, "hallucination": False, "short_reason": ""})
+
+    got = {r.qid: r.judge is not None for r in ev.judge_first(rows, chat, 3).collect()}
+    assert got == {i: i in (1, 3, 4) for i in range(9)} and sorted(open(log).read().split()) == ["q0", "q1", "q2", "q3", "q4"]
+    assert not any(r.judge for r in ev.judge_first(rows, chat, 0).collect())
