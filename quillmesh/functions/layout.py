@@ -12,7 +12,8 @@ SMALL_ROWS = 200_000
 def spread(df: DataFrame) -> DataFrame:
     """Over all cores where the input has fewer partitions than there are cores; any larger input is left as it is.
 
-    A Parquet file of one row group is one task, whatever its size; text work on it would keep one core busy.
+    A Parquet file of one row group is one task, whatever its size; text work on it would keep one core busy.  For scans:
+    the number of partitions of anything that was shuffled is only known once it has run.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -28,7 +28,7 @@ def one_chunk_notes(spark: SparkSession, sf: str) -> DataFrame:
     note = F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit(".md"))
     title = F.concat("source", F.lit(" "), F.col("doc_id").cast("string"))
     link = F.concat(F.lit("src/"), (F.col("doc_id") + 1).cast("string"))
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         F.concat(note, F.lit("#1")).alias("chunk_id"), note.alias("note_id"), title.alias("title"), title.alias("section"), "text",
         F.array("lang", "source").alias("tags"), F.array(link).alias("links"), F.lit(1).alias("position"),
     )
@@ -270,7 +270,10 @@ def rag_summary(spark, sf):
 def rag_report(spark, sf):
     hits = _hits(spark, sf)
     stub = lambda system, user: '{"correctness": 4, "groundedness": 5, "uses_context": true, "hallucination": false, "short_reason": "ok"}'
-    return evaluation.rag_report(_relevant(spark, sf), hits, an.extractive(asked(spark, sf), hits), stub)
+    report = evaluation.rag_report(_relevant(spark, sf), hits, an.extractive(asked(spark, sf), hits), stub)
+    ids = ("relevant_chunk_ids", "relevant_note_ids", "retrieved_chunk_ids", "retrieved_note_ids")
+    said = ("correctness", "groundedness", "uses_context", "hallucination", "short_reason")
+    return report.withColumns({c: F.array_join(c, "|") for c in ids} | {c: F.col(f"judge.{c}") for c in said}).drop("judge")
 
 
 def index_append(spark, sf):
@@ -575,3 +578,19 @@ ORACLES |= {
     "relevant_ids": """SELECT item_id AS qid, CASE WHEN item_id % 2 = 0 THEN 'n' || item_id || '.md#2|plain' WHEN item_id % 3 = 0 THEN 'old.md#1' ELSE '' END AS chunk_ids,
         CASE WHEN item_id % 5 = 0 THEN 'note.md' WHEN item_id % 2 = 0 THEN 'n' || item_id || '.md' WHEN item_id % 3 = 0 THEN 'old.md' ELSE '' END AS note_ids FROM benchmark""",
 }
+ORACLES |= {
+    "yaml_frontmatter": rf"""WITH {_WITH_MD}, t AS (SELECT path, unnest(regexp_extract_all(text, '(?:^|[^\p{{L}}\p{{N}}_])#([\p{{L}}\p{{N}}_/-]+)', 1) || ['x', lang]) AS t FROM md)
+        SELECT path AS id, 'A ' || any_value(lang) AS title, string_agg(DISTINCT t, '|' ORDER BY t) AS tags, md5(any_value(text)) AS content FROM t JOIN md USING (path) GROUP BY path""",
+    "html_format": """SELECT conv_id, turn, '<pre><code>if a &lt; b:</code></pre>' || chr(10) || chr(10) || '<b><code>x&amp;y</code></b>' || chr(10)
+        || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM conversations""",
+    "mojibake_fix": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'привет' ELSE substring(text, 1, 40) END AS text FROM documents",
+    "rag_report": rf"""WITH {_HITS3}, {_REL}, {_ANSWER}, ctx AS (SELECT qid, string_agg(text, chr(10) ORDER BY rank) AS context, list(chunk_id ORDER BY rank) AS chunk_ids, list(note_id ORDER BY rank) AS note_ids FROM h GROUP BY qid),
+        want AS (SELECT qid, string_agg(note_id || '#1', '|' ORDER BY note_id || '#1') AS chunk_ids, string_agg(note_id, '|' ORDER BY note_id || '#1') AS note_ids FROM rel GROUP BY qid),
+        b AS (SELECT q.qid, q.text AS query, answer, trim(split_part(answer, '{an.SOURCES_HEADER}', 1), ' ' || chr(10)) AS body, coalesce(context, '') AS context, coalesce(chunk_ids, []) AS c, coalesce(note_ids, []) AS n
+              FROM q JOIN ans USING (qid) LEFT JOIN ctx USING (qid)),
+        s AS (SELECT *, {_lex('body')} AS said, {_lex('context')} AS known, list_filter(list_transform(regexp_extract_all(body, '\[([^\]]+)\]', 1), lambda x: trim(x)), lambda x: x <> '') AS cited FROM b)
+        SELECT query, coalesce(want.chunk_ids, 'none.md#1') AS relevant_chunk_ids, coalesce(want.note_ids, 'none.md') AS relevant_note_ids, array_to_string(c, '|') AS retrieved_chunk_ids, array_to_string(n, '|') AS retrieved_note_ids,
+        answer, body AS answer_body, CASE WHEN len(said) = 0 THEN 0.0::DOUBLE ELSE round(len(list_filter(said, lambda t: list_contains(known, t)))::DOUBLE / len(said), 6) END AS coverage,
+        len(cited) > 0 AS has_bracket_citations, len(list_filter(cited, lambda x: len(list_filter(c || n, lambda y: contains(x, y))) > 0)) > 0 AS has_valid_bracket_citation,
+        4.0::DOUBLE AS correctness, 5.0::DOUBLE AS groundedness, true AS uses_context, false AS hallucination, 'ok' AS short_reason FROM s LEFT JOIN want USING (qid)""",
+}
