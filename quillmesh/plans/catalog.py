@@ -28,7 +28,7 @@ def one_chunk_notes(spark: SparkSession, sf: str) -> DataFrame:
     note = F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit(".md"))
     title = F.concat("source", F.lit(" "), F.col("doc_id").cast("string"))
     link = F.concat(F.lit("src/"), (F.col("doc_id") + 1).cast("string"))
-    return spread(table(spark, sf, "documents")).select(
+    return table(spark, sf, "documents").select(
         F.concat(note, F.lit("#1")).alias("chunk_id"), note.alias("note_id"), title.alias("title"), title.alias("section"), "text",
         F.array("lang", "source").alias("tags"), F.array(link).alias("links"), F.lit(1).alias("position"),
     )
@@ -59,7 +59,7 @@ def asked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf: str) -> hybrid.IndexTables:
-    return hybrid.build_index(one_chunk_notes(spark, sf), CFG).persist()
+    return hybrid.build_index(one_chunk_notes(spark, sf), CFG, scan=True).persist()
 
 
 def _hits(spark: SparkSession, sf: str, k: int = 3) -> DataFrame:
@@ -289,7 +289,7 @@ def index_saved(spark, sf):
     from quillmesh.sources.store import load_index, save_index, scratch
 
     path = scratch(spark, "index")
-    save_index(hybrid.build_index(one_chunk_notes(spark, sf), CFG), path)
+    save_index(hybrid.build_index(one_chunk_notes(spark, sf), CFG, scan=True), path)
     return hybrid.retrieve(load_index(spark, path), questions(spark, sf), CFG)
 
 

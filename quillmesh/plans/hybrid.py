@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.config import HIT, RetrievalConfig
 from quillmesh.functions import text as tx
-from quillmesh.functions.layout import checked_broadcast
+from quillmesh.functions.layout import checked_broadcast, spread
 from quillmesh.operators import lexical, ranking
 from quillmesh.operators.vectors import with_passage
 
@@ -45,12 +45,12 @@ class IndexTables:
         return self
 
 
-def build_index(chunks: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), max_chunks: int | None = None) -> IndexTables:
-    """The index lies as the chunks do; where those come in too few partitions, ``spread`` the scan that they are made from."""
+def build_index(chunks: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), max_chunks: int | None = None, scan: bool = False) -> IndexTables:
+    """scan: the chunks are read from files, so their partitions can be counted without a job, and are spread where they are too few."""
     if max_chunks is not None:
         chunks = chunks.orderBy("note_id", "position").limit(max_chunks)
     passage = F.col("passage")
-    passages = with_passage(chunks).select(
+    passages = with_passage(spread(chunks) if scan else chunks).select(
         "chunk_id",
         "note_id",
         "position",
