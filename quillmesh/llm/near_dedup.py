@@ -1,4 +1,4 @@
-"""SimHash near-duplicate detection with vantage-point trees.
+"""SimHash near-duplicate detection with vantage-point trees over exact block search.
 
 A document's fingerprint has 128 bits: each lower-cased word votes with its hash bits,
 weighted by a damped count (integers, so sums don't depend on the order).  Two documents
@@ -7,19 +7,24 @@ the connected components of that relation and the smallest doc_id of a group sta
 
 The search is exact.  A fingerprint's bits fall into blocks with a small reach each, such
 that reaches + 1 add up to ``radius + 1``; a pair that differs by more than its reach in
-every block is beyond the radius (pigeonhole), so one vantage-point tree for each block,
-searched with the block's reach, finds every pair.  Blocks are about as wide as the binary
-logarithm of the number of fingerprints (16 to 32 bits): what a block's ball holds then
-grows far more slowly than the corpus.
-
-The top levels of a tree, fitted on a sample, are shards: a fingerprint is stored in the
-shard that it falls into and visits each shard that its ball overlaps by the triangle
-bound; a shard with many visitors is searched in slices, each with all that is stored.
-Within a slice a tree over the distinct block values that are stored is searched by all
-visitors at once, level by level; branches go by the least and greatest distance to their
-vantage point.  Values within reach lead to pairs, which are compared on all 128 bits.  A
-pair is reported once: by the first block that can find it, in the shard where its smaller
-member is stored.  The sample decides how even shards are, never what is found.
+every block is beyond the radius (pigeonhole), so searching each block with its reach finds
+every pair.  Blocks are somewhat wider than the binary logarithm of the number of
+fingerprints (16 to 32 bits): what a block's ball holds then grows far more slowly than the
+corpus.
+
+The top levels of a vantage-point tree for each block, fitted on a sample, are shards: a
+fingerprint is stored in the shard that it falls into and visits each shard that its ball
+overlaps by the triangle bound; a shard with many visitors is searched in slices, each with
+all that is stored.  Within a slice the keys of a ball (a block's first ``KEY_BITS`` bits)
+are looked up one mask at a time for all visitors at once; a pair is met from its greater
+value, so half a ball does.  Where a ball has more keys than a slice has fingerprints, a tree over
+the distinct values is searched instead, level by level; branches go by the least and
+greatest distance to their vantage point.  What is met is compared on all 128 bits.  The
+sample decides how even shards are, never what is found.
+
+Pairs grow with the square of a group's texts, so a slice gives none of them: it gives each
+fingerprint that is in one with a representative of its component and its least distance.
+``near_pairs`` gives the pairs themselves, each by the first block that can find it.
 
 Defined cases: null doc_id: no row.  Null, empty or blank text: no fingerprint; its own
 group, kept.  Text without word characters: its stripped form is the only feature.  Very
@@ -30,10 +35,11 @@ Ties: none, as the smallest doc_id decides.  Extra columns: ignored.  Empty tabl
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -45,9 +51,10 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import bounded_sample, cut, project, table
 
 RADIUS = 19
-SHARD_ROWS, SLICE_ROWS = 262_144, 524_288
+SHARD_ROWS, SLICE_ROWS = 1_048_576, 524_288
 SAMPLE_PER_SHARD = 64
 LEAF = 16
+KEY_BITS = 25
 _WORD = re.compile(r"\w+")
 _WEIGHTS = [0] + [round(16 * (1 + math.log(c))) for c in range(1, 4096)]
 
@@ -139,7 +146,7 @@ class Block(NamedTuple):
 
 def blocks_for(n: int, radius: int) -> list[Block]:
     """Blocks for n fingerprints; reaches + 1 add up to radius + 1, and a block that isn't needed is left out."""
-    k = 128 // min(32, max(16, (max(n, 2) - 1).bit_length()))
+    k = 128 // min(32, max(16, (max(n, 2) - 1).bit_length() + 1))
     edges = [128 * i // k for i in range(k + 1)]
     reaches = [(radius + 1) // k + (i < (radius + 1) % k) - 1 for i in range(k)]
     return [Block(lo, hi, reach) for lo, hi, reach in zip(edges, edges[1:], reaches) if reach >= 0]
@@ -277,33 +284,156 @@ def _products(a: tuple, b: tuple, v: np.ndarray, q: np.ndarray, most: int = 2_00
         at = upto
 
 
-def search(blocks: list[Block], k: int, pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
-    """All pairs of a slice that block k must report; kind 1: stored, 2: asked, 3: both."""
+def ball(width: int, reach: int) -> int:
+    """How many values differ from one in at most so many of its bits."""
+    return sum(math.comb(width, i) for i in range(min(width, reach) + 1))
+
+
+def masks_below(top: int, reach: int) -> np.ndarray:
+    """All values with bit ``top`` set, none above and at most ``reach`` in all; for top -1 the value 0 alone."""
+    lower = [[1 << i for i in c] for r in range(reach) for c in itertools.combinations(range(top), r)] if top >= 0 else [[]]
+    return np.array([sum(c) + (1 << top if top >= 0 else 0) for c in lower], np.int64)
+
+
+class Keys:
+    """Sorted keys, repeats included: a flag for each possible key, and bits counted by words, which lead from a key to its rows."""
+
+    def __init__(self, keys: np.ndarray, width: int):
+        distinct, self.start, self.count = np.unique(keys, return_index=True, return_counts=True)
+        self.there = np.zeros(max(64, 1 << width), bool)
+        self.there[distinct] = True
+        self.bits = np.packbits(self.there, bitorder="little").view(np.uint64)
+        self.before = np.cumsum(np.bitwise_count(self.bits), dtype=np.int32)
+
+    def rows(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the asked keys that there are: their positions in asked, where their rows start and how many they are."""
+        at = np.flatnonzero(self.there.take(asked))
+        keys = asked[at]
+        word = keys >> 6
+        rank = self.before[word] - np.bitwise_count(self.bits[word] >> (keys & 63).astype(np.uint64))
+        return at, self.start[rank], self.count[rank]
+
+
+def near_in_balls(stored: np.ndarray, asked: np.ndarray, width: int, reach: int, sides: tuple[np.ndarray, np.ndarray], most: int, at_once: int = 32_768, pairs_at_once: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions in stored, in asked) where the sorted keys are within reach, the stored one is not the greater, and the
+    sides (a word of each fingerprint) differ in at most ``most`` bits.  Looks up every key of the lower half of a ball."""
+    table = Keys(stored, width)
+    for top in range(-1, width if reach else 0):
+        some = np.flatnonzero(asked >> top & 1) if top >= 0 else np.arange(len(asked))
+        masks = masks_below(top, reach)
+        for k in range(0, len(some), at_once):
+            rows = some[k : k + at_once]
+            keys, side = asked[rows], sides[1][rows]
+            for mask in masks:
+                at, start, n = table.rows(keys ^ mask)
+                end = np.cumsum(n)
+                lo = 0
+                while lo < len(at):
+                    done = int(end[lo - 1]) if lo else 0
+                    hi = max(lo + 1, int(np.searchsorted(end, done + pairs_at_once, "right")))
+                    m, upto = n[lo:hi], end[lo:hi] - done
+                    x = np.repeat(start[lo:hi] - upto + m, m)
+                    x += np.arange(len(x))
+                    near = np.nonzero(np.bitwise_count(sides[0][x] ^ np.repeat(side[at[lo:hi]], m)) <= most)[0]
+                    if len(near):
+                        yield x[near], rows[at[lo + np.searchsorted(upto, near, "right")]]
+                    lo = hi
+
+
+def _near(block: Block, pdf: pd.DataFrame, radius: int, at_once: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows of a slice within the radius and the block's reach, each once, with their distance: of a pair, the one with the greater value asks."""
     f0, f1, rep, kind = (pdf[c].to_numpy() for c in ("f0", "f1", "rep", "kind"))
     u0, u1 = f0.view(np.uint64), f1.view(np.uint64)
-    values = blocks[k].of(f0, f1)
-    stored, asked = np.nonzero(kind & 1)[0], np.nonzero(kind & 2)[0]
+    values = block.of(f0, f1)
+    stored, asked = (np.flatnonzero(kind & bit) for bit in (1, 2))
+    stored, asked = (rows[np.argsort(values[rows], kind="stable")] for rows in (stored, asked))
+    if not len(stored) or not len(asked):
+        return
+    width = min(block.hi - block.lo, KEY_BITS)
+    shift = block.hi - block.lo - width
+
+    def candidates() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if ball(width, block.reach) <= len(stored):
+            side = u1 if block.lo + block.hi <= 128 else u0
+            keys = (values[rows].astype(np.int64) >> shift for rows in (stored, asked))
+            yield from near_in_balls(*keys, width, block.reach, (side[stored], side[asked]), radius)
+        else:
+            a, b = _members(values[stored]), _members(values[asked])
+            for v, q in Tree(a[0]).within(b[0], block.reach):
+                yield from _products(a, b, v, q)
+
+    for x, y in _gathered(candidates(), at_once):
+        x, y = stored[x], asked[y]
+        d = np.bitwise_count(u0[x] ^ u0[y]) + np.bitwise_count(u1[x] ^ u1[y])
+        near = d <= radius
+        x, y, d = x[near], y[near], d[near].astype(np.int32)
+        near = (values[x] < values[y]) | (values[x] == values[y]) & (rep[x] < rep[y])
+        near &= np.bitwise_count(values[x] ^ values[y]) <= block.reach
+        yield x[near], y[near], d[near]
+
+
+def _gathered(pieces: Iterator[tuple[np.ndarray, np.ndarray]], at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+    for piece in pieces:
+        held.append(piece)
+        n += len(piece[0])
+        if n >= at_once:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def search(blocks: list[Block], k: int, pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
+    """All pairs of a slice that block k must report; kind 1: stored, 2: asked, 3: both."""
+    f0, f1, rep = (pdf[c].to_numpy() for c in ("f0", "f1", "rep"))
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
-    if len(stored) and len(asked):
-        a, b = _members(values[stored]), _members(values[asked])
-        a, b = (*a[:3], stored[a[3]]), (*b[:3], asked[b[3]])
-        for v, q in Tree(a[0]).within(b[0], blocks[k].reach):
-            for x, y in _products(a, b, v, q):
-                near = rep[x] < rep[y]
-                x, y = x[near], y[near]
-                d = np.bitwise_count(u0[x] ^ u0[y]) + np.bitwise_count(u1[x] ^ u1[y])
-                near = d <= radius
-                x, y, d = x[near], y[near], d[near]
-                for other in blocks[:k]:
-                    mine = np.bitwise_count(other.of(f0[x], f1[x]) ^ other.of(f0[y], f1[y])) > other.reach
-                    x, y, d = x[mine], y[mine], d[mine]
-                found.append((rep[x], rep[y], d.astype(np.int32)))
+    for x, y, d in _near(blocks[k], pdf, radius):
+        for other in blocks[:k]:
+            mine = np.bitwise_count(other.of(f0[x], f1[x]) ^ other.of(f0[y], f1[y])) > other.reach
+            x, y, d = x[mine], y[mine], d[mine]
+        found.append((np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y]), d))
     a, b, d = (np.concatenate(x) for x in zip(*found))
     return pd.DataFrame({"a": a, "b": b, "dist": d})
 
 
-def near_pairs(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Of distinct fingerprints (f0, f1, rep): every pair within the radius, as (a, b, dist) of reps, a < b."""
+class Forest:
+    """Connected components of rows 0 to n - 1: label[i] is the least row of i's component."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def join(self, x: np.ndarray, y: np.ndarray) -> None:
+        while True:
+            a, b = self.label[x], self.label[y]
+            apart = a != b
+            if not apart.any():
+                return
+            x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+            np.minimum.at(self.label, np.maximum(a, b), np.minimum(a, b))
+            while True:
+                above = self.label[self.label]
+                if (above == self.label).all():
+                    break
+                self.label = above
+
+
+def links(blocks: list[Block], k: int, pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
+    """What the pairs that block k finds in a slice come to: of each fingerprint in one, a fingerprint that stands for its
+    component within the slice, and the least distance to another.  Rows grow with the fingerprints, not with the pairs."""
+    rep = pdf["rep"].to_numpy()
+    forest, nearest = Forest(len(pdf)), np.full(len(pdf), 128, np.int32)
+    for x, y, d in _near(blocks[k], pdf, radius):
+        np.minimum.at(nearest, x, d)
+        np.minimum.at(nearest, y, d)
+        forest.join(x, y)
+    rows = np.flatnonzero(nearest < 128)
+    return pd.DataFrame({"a": rep[rows], "b": rep[forest.label[rows]], "dist": nearest[rows]})
+
+
+def _by_slice(what: Callable, prints: DataFrame, radius: int, shard_rows: int, slice_rows: int) -> DataFrame:
+    """``what`` of each slice of each block, as (a, b, dist)."""
     if not 0 <= radius < 128:
         raise ValueError("radius must be from 0 to 127")
     n = prints.count()
@@ -332,11 +462,21 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_
                         rows = at[sent]
                         yield pd.DataFrame({"block": np.full(len(rows), k, np.int32), "leaf": np.full(len(rows), leaf, np.int32), "slice": np.full(len(rows), part, np.int32), "f0": f0[rows], "f1": f1[rows], "rep": rep[rows], "kind": kind[sent]})
 
-    def pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return search(blocks, int(key[0]), pdf, radius)
+    def found(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return what(blocks, int(key[0]), pdf, radius)
 
     sent = prints.select("f0", "f1", "rep").mapInPandas(send, "block int, leaf int, slice int, f0 long, f1 long, rep long, kind byte")
-    return sent.groupBy("block", "leaf", "slice").applyInPandas(pairs, "a long, b long, dist int")
+    return sent.groupBy("block", "leaf", "slice").applyInPandas(found, "a long, b long, dist int")
+
+
+def near_pairs(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Of distinct fingerprints (f0, f1, rep): every pair within the radius, as (a, b, dist) of reps, a < b."""
+    return _by_slice(search, prints, radius, shard_rows, slice_rows)
+
+
+def near_links(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """(a, b, dist) with the components and the least distances of near_pairs, without its pairs: see ``links``; b may be a."""
+    return _by_slice(links, prints, radius, shard_rows, slice_rows)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -362,10 +502,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHA
     """
     prints = cut(fingerprints(docs).dropDuplicates())
     distinct = cut(prints.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    edges = cut(near_pairs(distinct, radius, shard_rows))
-    nearest = edges.select("a", "dist").union(edges.select("b", "dist")).toDF("rep", "dist").groupBy("rep").agg(F.min("dist").alias("dist"))
+    found = cut(near_links(distinct, radius, shard_rows))
+    nearest = found.groupBy(F.col("a").alias("rep")).agg(F.min("dist").alias("dist"))
     of = (
-        distinct.join(components(edges).toDF("rep", "label"), "rep", "left")
+        distinct.join(components(found.where("a <> b")).toDF("rep", "label"), "rep", "left")
         .join(nearest, "rep", "left")
         .select("f0", "f1", F.coalesce("label", "rep").alias("group"), F.when(F.col("copies") > 1, 0).otherwise(F.col("dist")).alias("near"))
     )

@@ -176,3 +176,72 @@ def test_all_pairs_at_the_default_radius():
         blocks = nd.blocks_for(n, nd.RADIUS)
         found = pd.concat([nd.search(blocks, k, pdf, nd.RADIUS) for k in range(len(blocks))])
         assert {(a, a + 2000) for a in range(2000)} <= set(zip(found["a"], found["b"])) and not found.duplicated(["a", "b"]).any()
+
+
+def clusters(n: int, of: int, flips: int, seed: int) -> np.ndarray:
+    """n random fingerprints, each with of - 1 copies that differ from it in up to so many bits."""
+    rng = np.random.default_rng(seed)
+    bits = np.repeat(np.unpackbits(rng.integers(0, 256, (n, 16), dtype=np.uint8), axis=1), of, axis=0)
+    for i in range(len(bits)):
+        if i % of:
+            bits[i, rng.integers(0, 128, flips)] ^= 1
+    return np.unique(np.packbits(bits, axis=1).view(">i8").astype(np.int64), axis=0)
+
+
+def all_near(f: np.ndarray, radius: int) -> dict[tuple[int, int], int]:
+    u = f.view(np.uint64)
+    d = np.bitwise_count(u[:, None, :] ^ u[None, :, :]).sum(2, dtype=np.int64)
+    return {(a, b): int(d[a, b]) for a, b in zip(*(x.tolist() for x in np.nonzero(d <= radius))) if a < b}
+
+
+@pytest.mark.parametrize("key_bits", [12, 17, 25])
+def test_large_slices_are_searched_without_a_tree(monkeypatch, key_bits):
+    """A tree's branches hardly part values at reach 3, so its cost grew with the square of the corpus."""
+    import pandas as pd
+
+    monkeypatch.setattr(nd, "Tree", None)
+    monkeypatch.setattr(nd, "KEY_BITS", key_bits)
+    f = clusters(800, 4, 14, 3)
+    f = f[np.random.default_rng(1).permutation(len(f))]
+    pdf = pd.DataFrame({"f0": f[:, 0], "f1": f[:, 1], "rep": np.arange(len(f)), "kind": 3})
+    for n in (len(f), 3 * 10**6):
+        blocks = [b for b in nd.blocks_for(n, 19) if nd.ball(min(key_bits, b.hi - b.lo), b.reach) <= len(f)]
+        found = [nd.search(nd.blocks_for(n, 19), nd.blocks_for(n, 19).index(b), pdf, 19) for b in blocks]
+        got = [(int(a), int(b), int(d)) for one in found for a, b, d in one.itertuples(index=False)]
+        want = all_near(f, 19)
+        assert blocks and len(got) == len(set(got)) and all(want[a, b] == d for a, b, d in got)
+        if len(blocks) == len(nd.blocks_for(n, 19)):
+            assert len(got) == len(want) > 2000
+
+
+def test_balls_hold_each_near_pair_once():
+    rng = np.random.default_rng(4)
+    stored, asked = np.sort(rng.integers(0, 2**12, 900)), np.sort(rng.integers(0, 2**12, 700))
+    sides = rng.integers(0, 2**60, 900).astype(np.uint64), rng.integers(0, 2**60, 700).astype(np.uint64)
+    for reach, most in ((0, 64), (2, 28), (3, 64)):
+        near = (np.bitwise_count(stored[:, None] ^ asked) <= reach) & (stored[:, None] <= asked) & (np.bitwise_count(sides[0][:, None] ^ sides[1]) <= most)
+        for sizes in ((32_768, 1_000_000), (50, 7)):
+            got = [(int(a), int(b)) for x, y in nd.near_in_balls(stored, asked, 12, reach, sides, most, *sizes) for a, b in zip(x, y)]
+            assert len(got) == len(set(got)) and set(got) == set(zip(*(x.tolist() for x in np.nonzero(near))))
+
+
+def test_links_are_the_groups_of_all_pairs_without_the_pairs(spark):
+    f = np.concatenate([clusters(3, 150, 6, 7), clusters(200, 2, 17, 8)])
+    df = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(f.tolist())], "f0 long, f1 long, rep long")
+    want = all_near(f, 19)
+    group, nearest = list(range(len(f))), {}
+    for (a, b), d in sorted(want.items()):
+        nearest[a], nearest[b] = min(d, nearest.get(a, 128)), min(d, nearest.get(b, 128))
+        x, y = sorted((group[a], group[b]))
+        group = [x if g == y else g for g in group]
+    assert len(want) > 30_000
+    for shard_rows, slice_rows in ((10_000, 10_000), (300, 200), (40, 10_000)):
+        found = nd.near_links(df, 19, shard_rows, slice_rows).cache()
+        rows = found.collect()
+        assert len(rows) <= 24 * len(f) < len(want)
+        least = {}
+        for r in rows:
+            least[r.a] = min(r["dist"], least.get(r.a, 128))
+        assert least == nearest
+        labels = {r.node: r.label for r in nd.components(found.where("a <> b")).collect()}
+        assert labels == {i: group[i] for i in nearest}
