@@ -151,3 +151,16 @@ def test_stages_leave_parquet(spark):
     folder = files[0].split(f"/{last}_shard/")[0]
     kept = [spark.read.parquet(f"{folder}/{k}_{name}").count() for k, (name, _) in enumerate(cp.STAGES)]
     assert kept == sorted(kept, reverse=True) and kept[-1] > 0
+
+
+def test_near_dedup_makes_no_table_of_pairs(spark, monkeypatch):
+    """Pairs of a group grow with the square of its texts: a group of 300 texts gives no 44,850 rows."""
+
+    def refuse(*_):
+        raise AssertionError("all pairs")
+
+    monkeypatch.setattr(near_dedup, "near_pairs", refuse)
+    words = " ".join(f"word{i}" for i in range(400))
+    rows = [(i, f"{words} own{i}", "en", "s", 1) for i in range(300)] + [(1000, "something else altogether", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in cp.near_dedup(spark, docs, SF).collect()) == [0, 1000]
