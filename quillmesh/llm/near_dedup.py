@@ -38,7 +38,6 @@ from __future__ import annotations
 import itertools
 import math
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -56,59 +55,64 @@ SAMPLE_PER_SHARD = 64
 LEAF = 16
 KEY_BITS = 25
 _WORD = re.compile(r"\w+")
-_WEIGHTS = [0] + [round(16 * (1 + math.log(c))) for c in range(1, 4096)]
+_WEIGHTS = np.array([0] + [round(16 * (1 + math.log(c))) for c in range(1, 4096)], np.float32)
 
 
-def features(text: str) -> dict[str, int]:
-    counts = Counter(_WORD.findall(text.lower()))
-    if not counts:
-        whole = text.strip()
-        return {whole: 16} if whole else {}
-    return {w: 16 if c == 1 else _WEIGHTS[c] if c < 4096 else round(16 * (1 + math.log(c))) for w, c in counts.items()}
+def damped(counts: np.ndarray) -> np.ndarray:
+    """The weight of a word that occurs so often in a text."""
+    weights = _WEIGHTS.take(counts, mode="clip")
+    for i in np.flatnonzero(counts >= len(_WEIGHTS)):
+        weights[i] = round(16 * (1 + math.log(counts[i])))
+    return weights
 
 
 class Digests(dict):
-    """word -> the row of its 128-bit hash in ``raw``."""
+    """word -> the row of its 128-bit hash in ``rows()``."""
 
-    def __init__(self, room: int = 200_000):
+    def __init__(self):
         super().__init__()
-        self.raw = np.zeros((room, 16), np.uint8)
+        self.raw = bytearray()
 
     def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at == len(self.raw):
-            self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
-        self.raw[at] = np.frombuffer(xxhash.xxh3_128_digest(word.encode("utf-8", "surrogatepass")), np.uint8)
-        self[word] = at
+        self.raw += xxhash.xxh3_128_digest(word.encode("utf-8", "surrogatepass"))
+        at = self[word] = len(self)
         return at
 
+    def rows(self) -> np.ndarray:
+        return np.frombuffer(self.raw, np.uint8).reshape(-1, 16)
 
-def simhash(texts: list[str], tokens_at_once: int = 4_096, known: Digests | None = None) -> np.ndarray:
+
+def simhash(texts: list[str], tokens_at_once: int = 16_384, known: Digests | None = None) -> np.ndarray:
     """(n, 2) int64 fingerprints; texts must have at least one feature."""
     known = Digests() if known is None else known
     out = np.zeros((len(texts), 2), np.int64)
 
-    def flush(rows: list[int], words: list[int], weights: list[int], starts: list[int]) -> None:
-        if rows:
-            bits = np.unpackbits(known.raw[words], axis=1).astype(np.float32)
-            bits *= np.array(weights, np.float32)[:, None]
-            votes = 2 * np.add.reduceat(bits, starts, axis=0) - np.add.reduceat(np.array(weights, np.float32), starts)[:, None]
-            out[rows] = np.packbits(votes > 0, axis=1).view(">i8").astype(np.int64)
-
-    rows: list[int] = []
-    words: list[int] = []
-    weights: list[int] = []
-    starts: list[int] = []
+    def flush(first: int, words: list[int], ends: list[int]) -> None:
+        n = len(ends)
+        key = np.array(words, np.int64)
+        key += np.repeat(np.arange(n) << 32, np.diff(ends, prepend=0))
+        key.sort()
+        at = np.flatnonzero(np.diff(key, prepend=-1))
+        weights = damped(np.diff(at, append=len(key)))
+        key = key[at]
+        edges = np.searchsorted(key, np.arange(n + 1) << 32)
+        total = np.add.reduceat(weights.astype(np.float64), edges[:-1])
+        bits = np.unpackbits(known.rows()[key & 0xFFFFFFFF], axis=1).astype(np.float32)
+        votes = np.empty((n, 128))
+        for i, (lo, hi) in enumerate(itertools.pairwise(edges.tolist())):
+            exact = weights[lo:hi] if total[i] < 1 << 24 else weights[lo:hi].astype(np.float64)  # integers that float32 can add in any order
+            votes[i] = exact @ bits[lo:hi]
+        out[first : first + n] = np.packbits(2 * votes > total[:, None], axis=1).view(">i8").astype(np.int64)
+
+    first, words, ends = 0, [], []
     for i, text in enumerate(texts):
-        f = features(text)
-        rows.append(i)
-        starts.append(len(words))
-        words.extend(map(known.__getitem__, f))
-        weights.extend(f.values())
+        words.extend(map(known.__getitem__, _WORD.findall(text.lower()) or [text.strip()]))
+        ends.append(len(words))
         if len(words) >= tokens_at_once:
-            flush(rows, words, weights, starts)
-            rows, words, weights, starts = [], [], [], []
-    flush(rows, words, weights, starts)
+            flush(first, words, ends)
+            first, words, ends = i + 1, [], []
+    if ends:
+        flush(first, words, ends)
     return out
 
 
