@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.config import RetrievalConfig
-from quillmesh.plans.hybrid import IndexTables, build_index
+from quillmesh.plans.hybrid import IndexTables, build_index, corpus_of, term_stats_of
 
 PARTS = ("chunks", "passages", "term_stats", "corpus", "meta")
 _CURRENT = "version string, saved_at long"
@@ -33,9 +33,18 @@ def save_index(index: IndexTables, path: str) -> None:
         raise ValueError("nothing to save: no chunks")
     now = time.time_ns()
     version = f"v{now}"
-    for part in PARTS:
-        getattr(index, part).write.mode("overwrite").parquet(f"{path}/{version}/{part}")
     spark = index.chunks.sparkSession
+
+    def write(part: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{path}/{version}/{part}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{version}/{part}")
+
+    write("chunks", index.chunks)
+    write("meta", index.meta)
+    # The statistics are counted over what is written, so that texts are cut into tokens once.
+    passages = write("passages", index.passages)
+    corpus = write("corpus", corpus_of(passages))
+    write("term_stats", term_stats_of(passages, corpus))
     spark.createDataFrame([(version, now)], _CURRENT).coalesce(1).write.mode("append").parquet(f"{path}/versions")
 
 
@@ -44,7 +53,7 @@ def load_index(spark: SparkSession, path: str) -> IndexTables:
     if not fs.exists(where):
         raise FileNotFoundError(f"no index at {path}")
     version = spark.read.schema(_CURRENT).parquet(f"{path}/versions").orderBy(F.desc("saved_at")).first()["version"]
-    return IndexTables(*(spark.read.parquet(f"{path}/{version}/{part}") for part in PARTS))
+    return IndexTables(*(spark.read.parquet(f"{path}/{version}/{part}") for part in PARTS), saved=True)
 
 
 def append_chunks(index: IndexTables, chunks: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> IndexTables:
@@ -57,7 +66,7 @@ def append_chunks(index: IndexTables, chunks: DataFrame, cfg: RetrievalConfig =
         raise ValueError(f"chunks lack {sorted(missing)}")
     more = build_index(chunks.select(*index.chunks.columns), cfg)
     passages = index.passages.unionByName(more.passages)
-    corpus = passages.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
+    corpus = corpus_of(passages)
     df = index.term_stats.select("term", "df").unionByName(more.term_stats.select("term", "df")).groupBy("term").agg(F.sum("df").alias("df"))
     from quillmesh.operators.lexical import idf
 
