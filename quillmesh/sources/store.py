@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.config import RetrievalConfig
-from quillmesh.plans.hybrid import IndexTables, build_index, corpus_of, term_stats_of
+from quillmesh.plans.hybrid import IndexTables, build_index, corpus_of, hashed_passages, term_stats_of
 
 PARTS = ("chunks", "passages", "term_stats", "corpus", "meta")
 _CURRENT = "version string, saved_at long"
@@ -42,7 +42,7 @@ def save_index(index: IndexTables, path: str) -> None:
     write("chunks", index.chunks)
     write("meta", index.meta)
     # The statistics are counted over what is written, so that texts are cut into tokens once.
-    passages = write("passages", index.passages)
+    passages = write("passages", hashed_passages(index.passages))
     corpus = write("corpus", corpus_of(passages))
     write("term_stats", term_stats_of(passages, corpus))
     spark.createDataFrame([(version, now)], _CURRENT).coalesce(1).write.mode("append").parquet(f"{path}/versions")
@@ -65,7 +65,8 @@ def append_chunks(index: IndexTables, chunks: DataFrame, cfg: RetrievalConfig =
     if missing:
         raise ValueError(f"chunks lack {sorted(missing)}")
     more = build_index(chunks.select(*index.chunks.columns), cfg)
-    passages = index.passages.unionByName(more.passages)
+    kept = (lambda p: p) if "tokens" in index.passages.columns else hashed_passages
+    passages = kept(index.passages).unionByName(kept(more.passages))
     corpus = corpus_of(passages)
     df = index.term_stats.select("term", "df").unionByName(more.term_stats.select("term", "df")).groupBy("term").agg(F.sum("df").alias("df"))
     from quillmesh.operators.lexical import idf
